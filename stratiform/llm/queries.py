@@ -13,8 +13,26 @@ def op5_shard_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    found = read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenfiles import read_token_files, write_token_files
+
+    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
+    "op3_warc_salvage": op3_warc_salvage,
     "op5_shard_permutation": op5_shard_permutation,
+    "op8_elias_fano_ids": op8_elias_fano_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
