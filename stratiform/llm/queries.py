@@ -29,10 +29,17 @@ def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .editembed import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_warc_salvage": op3_warc_salvage,
     "op5_shard_permutation": op5_shard_permutation,
     "op8_elias_fano_ids": op8_elias_fano_ids,
+    "op10_edit_embedding": op10_edit_embedding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
