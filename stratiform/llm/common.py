@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +107,13 @@ def remove(uri: str) -> None:
         pass
 
 
+def slices(texts: list, most: int = 1 << 21) -> Iterator[slice]:
+    """Slices of about ``most`` characters, of one text at least."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= most:
+            yield slice(a, i + 1)
+            a, held = i + 1, 0
+    if a < len(texts):
+        yield slice(a, len(texts))

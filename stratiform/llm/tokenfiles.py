@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, kept, scratch
+from .common import filesystem, kept, scratch, slices
 from .eliasfano import TokenFile, TokenFileWriter
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -98,18 +98,6 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list, most: int = 1 << 21) -> Iterator[slice]:
-    """Slices of about ``most`` characters, of one text at least."""
-    a, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= most:
-            yield slice(a, i + 1)
-            a, held = i + 1, 0
-    if a < len(texts):
-        yield slice(a, len(texts))
-
-
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """Writes the files and returns the manifest: part, path, n_docs and n_ids, a row for each file."""
     folder = folder or scratch(docs.sparkSession, "tokens")
