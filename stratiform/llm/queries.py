@@ -50,10 +50,26 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf import held_out, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "expected_tokens",
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("toxic_spans"),
+    )
+
+
 QUERIES = {
     "op3_warc_salvage": op3_warc_salvage,
     "op5_shard_permutation": op5_shard_permutation,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_toxicity_crf": op7_toxicity_crf,
     "op8_elias_fano_ids": op8_elias_fano_ids,
     "op10_edit_embedding": op10_edit_embedding,
 }
