@@ -35,8 +35,8 @@ SEGMENT = 48
 
 
 def features(word: bytes) -> tuple[bytes, ...]:
-    """What a token shows: itself and its beginnings and endings."""
-    return (b"w" + word, b"4" + word[:4], b"5" + word[:5], b"6" + word[:6], b"e" + word[-3:])
+    """What a token shows: itself and its beginnings."""
+    return (b"w" + word, b"4" + word[:4], b"5" + word[:5], b"6" + word[:6])
 
 
 @dataclass
@@ -155,21 +155,34 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: in
 
 
 def markers(tokens: list[list[bytes]], toxic: np.ndarray, chance: float = 1e-8) -> set[bytes]:
-    """Features in toxic documents so often that the chance of it, were classes mixed, is under ``chance``."""
+    """Features in toxic documents so often that the chance of it, were classes mixed, is under ``chance``.
+
+    What counts at last is the number of different neighbourhoods (word before and word after), since
+    copies of one text are no further evidence.
+    """
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    in1, in0 = Counter(), Counter()
-    for ws, y in zip(tokens, toxic, strict=True):
-        (in1 if y else in0).update({f for w in set(ws) for f in features(w)[:3]})
-    out, share = set(), n1 / (n1 + n0)
-    for f, k in in1.items():
-        n = k + in0[f]
-        if k / n1 < 9 * (in0[f] + 0.5) / n0:
-            continue
-        rate = k / n  # Chernoff bound of the binomial tail
+    share = n1 / (n1 + n0)
+
+    def often(k: int, others: int) -> bool:
+        n = k + others
+        rate = k / n
+        if k / n1 < 9 * (others + 0.5) / n0:
+            return False
+        # Chernoff bound of the binomial tail
         bits = n * (rate * math.log(rate / share) + (0 if rate == 1 else (1 - rate) * math.log((1 - rate) / (1 - share))))
-        if bits > -math.log(chance):
-            out.add(f)
-    return out
+        return bits > -math.log(chance)
+
+    seen = (Counter(), Counter())
+    for ws, y in zip(tokens, toxic, strict=True):
+        seen[int(y)].update({f for w in set(ws) for f in features(w)[:3]})
+    likely = {f for f, k in seen[1].items() if often(k, seen[0][f])}
+    around: tuple[dict, dict] = ({}, {})
+    for ws, y in zip(tokens, toxic, strict=True):
+        for before, w, after in zip([b"", *ws], ws, [*ws[1:], b""], strict=False):
+            for f in features(w)[:3]:
+                if f in likely:
+                    around[int(y)].setdefault(f, set()).add((before, after))
+    return {f for f, where in around[1].items() if often(len(where), len(around[0].get(f, ())))}
 
 
 def fit_chain(model: Model, tokens: list[list[bytes]], toxic: np.ndarray, seed: int, rounds: int = 60) -> None:
@@ -183,7 +196,7 @@ def fit_chain(model: Model, tokens: list[list[bytes]], toxic: np.ndarray, seed:
         hot = [a for a in starts if any(tag[a : a + SEGMENT])]
         cold = [a for a in starts if not any(tag[a : a + SEGMENT])] if not y else []
         if cold:
-            cold = [cold[i] for i in sorted(rng.choice(len(cold), min(3, len(cold)), replace=False))]
+            cold = [cold[i] for i in sorted(rng.choice(len(cold), min(10, len(cold)), replace=False))]
         for a in hot + cold:
             segments.append(ws[a : a + SEGMENT])
             tags.append(tag[a : a + SEGMENT])
@@ -198,7 +211,7 @@ def fit_chain(model: Model, tokens: list[list[bytes]], toxic: np.ndarray, seed:
             if w not in of_word:
                 of_word[w] = [index.get(f, size) for f in features(w)]
     n = len(segments)
-    ids = np.full((n, SEGMENT, 5), size, dtype=np.int64)
+    ids = np.full((n, SEGMENT, 4), size, dtype=np.int64)
     gold = np.zeros((n, SEGMENT))
     live = np.zeros((n, SEGMENT), dtype=bool)
     for k, (s, t) in enumerate(zip(segments, tags, strict=True)):
@@ -214,7 +227,7 @@ def fit_chain(model: Model, tokens: list[list[bytes]], toxic: np.ndarray, seed:
         odds = np.exp(np.clip(bias + w[ids].sum(axis=2), -30, 30))
         p, two = _expected(odds, live, pairs, steps)
         diff = np.where(live, gold - p, 0.0)
-        g = [np.bincount(flat, np.repeat(diff[live], 5), size + 1) - 0.05 * w, diff.sum(), gold_steps - two - 0.05 * steps]
+        g = [np.bincount(flat, np.repeat(diff[live], 4), size + 1) - 0.05 * w, diff.sum(), gold_steps - two - 0.05 * steps]
         for i in range(3):
             past[i] = past[i] + g[i] ** 2
         w = w + 0.3 * g[0] / np.sqrt(past[0])
