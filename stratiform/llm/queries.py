@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontam
 from .common import table
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op5_shard_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -67,6 +80,7 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_warc_salvage": op3_warc_salvage,
+    "op4_winnowing": op4_winnowing,
     "op5_shard_permutation": op5_shard_permutation,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity_crf": op7_toxicity_crf,
@@ -74,4 +88,4 @@ QUERIES = {
     "op10_edit_embedding": op10_edit_embedding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_winnowing": decontam.ORACLE}
