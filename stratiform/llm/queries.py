@@ -27,6 +27,12 @@ def op5_shard_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearjoin import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -79,6 +85,7 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chosen_path_join": op1_chosen_path_join,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_winnowing": op4_winnowing,
     "op5_shard_permutation": op5_shard_permutation,
