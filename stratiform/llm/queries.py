@@ -33,6 +33,19 @@ def op1_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.private_spans(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.span_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -86,6 +99,7 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chosen_path_join": op1_chosen_path_join,
+    "op2_context_pii": op2_context_pii,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_winnowing": op4_winnowing,
     "op5_shard_permutation": op5_shard_permutation,
