@@ -23,9 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import slices
+from .common import carried, slices, with_extras
 
 ENCODE = """
 WITH RECURSIVE going(word, tokens) AS (
@@ -176,8 +175,13 @@ def coder(path: str, pattern: str) -> DuckBpe:
     return _CODERS[path, pattern]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit) and decoded (bytes from the ids) of every document; no shuffle."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit) and decoded (bytes from the ids) of every document; no shuffle.
+
+    With ``extra`` columns of the documents, see ``with_extras``.
+    """
+    extra = extra or []
+    rows, kinds, names = carried(docs, extra)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(path, pattern)
@@ -185,7 +189,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = batch["text"].tolist()
             for s in slices(texts):
                 ids = bpe.encode(texts[s])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[s].astype("Int64"), "ids": ids, "decoded": bpe.decode(ids)})
+                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[s].astype("Int64").array, "ids": ids, "decoded": bpe.decode(ids)})
+                for n in names:
+                    out[n] = batch[n].iloc[s].array
+                yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids binary, decoded binary")
+    out = rows.mapInPandas(run, "doc_id long, ids binary, decoded binary" + kinds)
+    return with_extras(out, ["doc_id", "ids", "decoded"], extra, names)

@@ -117,3 +117,24 @@ def slices(texts: list, most: int = 1 << 21) -> Iterator[slice]:
             a, held = i + 1, 0
     if a < len(texts):
         yield slice(a, len(texts))
+
+
+def carried(docs: DataFrame, extra: list[str]) -> tuple[DataFrame, str, list[str]]:
+    """doc_id and text under their plain names plus ``extra`` columns as c0, c1, ...; their schema; the new names.
+
+    Columns are carried through Python under names of our own, so theirs can't clash with a result's.
+    """
+    names = [f"c{i}" for i in range(len(extra))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(extra, names, strict=True)])
+    return rows, "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names), names
+
+
+def with_extras(out: DataFrame, own: list[str], extra: list[str], names: list[str]) -> DataFrame:
+    """The ``own`` result columns; with ``extra`` ones, these and the results as one struct ``result``.
+
+    The struct's name gains underscores where ``extra`` has it already.
+    """
+    if not extra:
+        return out.select(*own)
+    back = out.select(*[F.col(n).alias(c) for c, n in zip(extra, names, strict=True)])
+    return out.select(F.struct(*own).alias(fresh(back, "result")), *[F.col(n).alias(c) for c, n in zip(extra, names, strict=True)])

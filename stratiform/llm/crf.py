@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words_of
+from .common import carried, slices, with_extras, words_of
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SEGMENT = 48
@@ -299,12 +299,10 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.n
 
 
 def score_documents(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, score, expected_tokens and spans of every document, with ``extra`` columns of theirs carried along."""
+    """doc_id, score, expected_tokens and spans of every document; with ``extra`` columns, see ``with_extras``."""
     spark, extra = docs.sparkSession, extra or []
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
-    names = [f"c{i}" for i in range(len(extra))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(extra, names, strict=True)])
-    kinds = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    rows, kinds, names = carried(docs, extra)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -312,10 +310,10 @@ def score_documents(docs: DataFrame, model: Model, extra: list[str] | None = Non
             texts = batch["text"].tolist()
             for s in slices(texts, 8_000_000):
                 score, total, spans = score_texts(m, texts[s])
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[s].astype("Int64"), "score": score, "expected_tokens": total, "spans": [[{"start": a, "end": b} for a, b in x] for x in spans]})
+                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[s].astype("Int64").array, "score": score, "expected_tokens": total, "spans": [[{"start": a, "end": b} for a, b in x] for x in spans]})
                 for n in names:
-                    out[n] = batch[n].iloc[s]
+                    out[n] = batch[n].iloc[s].array
                 yield out
 
     out = rows.mapInPandas(run, SCORED + kinds)
-    return out.select("doc_id", "score", "expected_tokens", "spans", *[F.col(n).alias(c) for c, n in zip(extra, names, strict=True)])
+    return with_extras(out, ["doc_id", "score", "expected_tokens", "spans"], extra, names)
