@@ -83,7 +83,10 @@ class Pipeline:
     def read_stream(self, name: str) -> DataFrame:
         """What a node gains, as a stream over its committed files."""
         v = self.store.version(self.full(name))
-        return self.store.spark.readStream.schema(v.schema).option("recursiveFileLookup", "true").parquet(f"{self.store._dir(self.full(name))}/data")
+        reader = self.store.spark.readStream.schema(v.schema)
+        if not v.partition_by:
+            reader = reader.option("recursiveFileLookup", "true")
+        return reader.parquet(f"{self.store._dir(self.full(name))}/data").select(*[f"`{c}`" for c in v.schema.names])
 
     def order(self) -> list[str]:
         return list(TopologicalSorter({n.name: set(n.reads) for n in self.nodes.values()}).static_order())

@@ -1,6 +1,6 @@
 """A table store on plain Parquet: atomic versions, MERGE, time travel; no external table format.
 
-``<root>/<db>/<table>/data/v=<n>/...`` holds what commit n wrote, ``_log/<n>.json`` says which directories make up
+``<root>/<db>/<table>/data/stratum_commit=<n>-.../`` holds what commit n wrote, ``_log/<n>.json`` says which directories make up
 version n. A commit is the exclusive creation of its log file, so of two writers of one version the second
 fails and may retry. Nothing is overwritten in place. A partitioned table's log lists single partitions, and a
 merge whose keys hold the partition columns reads and rewrites only the partitions that its source touches.
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Names the directories of commits; as a partition column it must differ from any column of a table.
+COMMIT = "stratum_commit"
+
+
 class TableMissing(Exception):
     """No such table."""
 
@@ -114,7 +118,7 @@ class TableStore:
 
     def _write(self, name: str, number: int, df: DataFrame, partition_by: list[str]) -> list[str]:
         """Writes a commit's rows under an attempt of its own, and returns the directories, by partition."""
-        tag = f"v={number}-{time.time_ns():x}"
+        tag = f"{COMMIT}={number}-{time.time_ns():x}"
         writer = df.write
         if partition_by:
             df = df.repartition(*partition_by) if df.rdd.getNumPartitions() > 1 else df

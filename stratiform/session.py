@@ -16,6 +16,10 @@ SETTINGS = {
 }
 
 
+def _setting(name: str) -> str:
+    return name.replace("_", ".")
+
+
 def build_session(name: str = "stratiform", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` keys use underscores for dots."""
     os.environ["TZ"] = "UTC"
@@ -23,7 +27,7 @@ def build_session(name: str = "stratiform", master: str | None = None, **conf: s
     b = SparkSession.builder.appName(name)
     if master:
         b = b.master(master)
-    for k, v in {**SETTINGS, **{k.replace("_", "."): v for k, v in conf.items()}}.items():
+    for k, v in {**SETTINGS, **{_setting(k): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
