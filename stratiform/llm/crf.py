@@ -4,7 +4,7 @@ Training, on the driver, from a bounded sample (``per_class`` labelled documents
 ``longest`` characters, taken by a hash of doc_id): words and word beginnings that stand in toxic documents far more
 often than chance allows label the sample's tokens, since labels are given for documents only. A chain with
 two states is fitted to segments of these token sequences by gradient steps on the exact likelihood. A
-logistic curve over the marginals' sum and maximum and the length gives the document's score, weighted to the share
+logistic curve over the greatest marginal and the sum of those that stand out gives the document's score, weighted to the share
 of toxic rows among all usable labels.
 
 Scoring: every whole text goes through forward and backward recursions; the marginals give the expected number
@@ -32,6 +32,8 @@ from .common import carried, slices, with_extras, words_of
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SEGMENT = 48
+#: Marginals under this aren't added up for a document's score.
+STANDS_OUT = 0.25
 
 
 def features(word: bytes) -> tuple[bytes, ...]:
@@ -110,12 +112,16 @@ class Model:
 
     @staticmethod
     def summary(marginals: list[np.ndarray]) -> np.ndarray:
-        """What the document's curve sees."""
+        """What the document's curve sees: the greatest marginal, and the sum of those that stand out.
+
+        Small marginals are left out of the sum, or a long clean text would gather them up to a toxic score.
+        """
         rows = []
         for p in marginals:
-            total, most = (float(p.sum()), float(p.max())) if len(p) else (0.0, 0.0)
-            rows.append((1.0, most, math.log1p(total), min(total, 3.0), math.log1p(len(p)) / 10))
-        return np.array(rows).reshape(-1, 5)
+            hot = p[p >= STANDS_OUT]
+            total = float(hot.sum())
+            rows.append((1.0, float(p.max()) if len(p) else 0.0, math.log1p(total), min(total, 3.0)))
+        return np.array(rows).reshape(-1, 4)
 
     def scores(self, marginals: list[np.ndarray]) -> np.ndarray:
         if self.curve is None:
