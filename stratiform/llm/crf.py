@@ -140,7 +140,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int = 50_000, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: int = 20_000, seed: int = 11) -> Model:
     """The model from a sample of at most ``per_class`` labelled documents of each class."""
     rows = usable_labels(labels, held_out())
     counts = {k: n for k, n in rows.groupBy("toxic").count().collect()}  # two rows at most
@@ -154,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: in
     toxic = np.array([y for _, y, _ in sample], dtype=np.int64)
     if not 0 < toxic.sum() < len(toxic):
         return model
-    tokens = [words_of(t) for _, _, t in sample]
+    pool: dict[bytes, bytes] = {}
+    tokens = [[pool.setdefault(w, w) for w in words_of(t)] for _, _, t in sample]
+    del sample
     fit_chain(model, tokens, toxic, seed)
     fit_curve(model, tokens, toxic)
     return model
@@ -202,7 +204,7 @@ def fit_chain(model: Model, tokens: list[list[bytes]], toxic: np.ndarray, seed:
         hot = [a for a in starts if any(tag[a : a + SEGMENT])]
         cold = [a for a in starts if not any(tag[a : a + SEGMENT])] if not y else []
         if cold:
-            cold = [cold[i] for i in sorted(rng.choice(len(cold), min(10, len(cold)), replace=False))]
+            cold = [cold[i] for i in sorted(rng.choice(len(cold), min(8, len(cold)), replace=False))]
         for a in hot + cold:
             segments.append(ws[a : a + SEGMENT])
             tags.append(tag[a : a + SEGMENT])
@@ -217,7 +219,7 @@ def fit_chain(model: Model, tokens: list[list[bytes]], toxic: np.ndarray, seed:
             if w not in of_word:
                 of_word[w] = [index.get(f, size) for f in features(w)]
     n = len(segments)
-    ids = np.full((n, SEGMENT, 4), size, dtype=np.int64)
+    ids = np.full((n, SEGMENT, 4), size, dtype=np.int32)
     gold = np.zeros((n, SEGMENT))
     live = np.zeros((n, SEGMENT), dtype=bool)
     for k, (s, t) in enumerate(zip(segments, tags, strict=True)):
