@@ -51,9 +51,12 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested production orders with plant-local posting texts."""
-    geo = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # One dimension after another, so each join is planned by the size of its own table.
+    customer, nation, region = (load(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
-    o = load(spark, sf_dir, "orders").join(geo, F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = load(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    o = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     item = lambda i: F.struct(i.cast("int").alias("item_no"), F.concat(F.lit("C"), i.cast("string")).alias("component_id"), i.cast("double").alias("required_qty"))
     return o.select(
         F.col("o_orderkey").cast("string").alias("production_order_id"),
@@ -73,8 +76,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def otd_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries: expected 30 days after the order, delivered at the ship date unless the line is open."""
     li, o = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
-    geo = load(spark, sf_dir, "customer").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", plant().alias("plant_code"))
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(geo, F.col("o_custkey") == F.col("c_custkey"))
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("plant_code", plant())
     expected = F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 30 DAYS")
     actual = F.when(F.col("l_linestatus") != "O", F.col("l_shipdate").cast("timestamp"))
     qty = F.col("l_quantity").cast("decimal(18,3)")
