@@ -21,10 +21,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import carried, slices, with_extras
+from .common import carried, resident, text_slices, with_extras
 
 ENCODE = """
 WITH RECURSIVE going(word, tokens) AS (
@@ -61,7 +60,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Encoder and decoder of one worker, with its own in-memory DuckDB."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 120_000):
+    def __init__(self, path: str, pattern: str, keep: int = 100_000):
         import duckdb
         import pyarrow as pa
         import regex
@@ -77,7 +76,7 @@ class DuckBpe:
                 if a is not None and b is not None:
                     pairs.append(a << 32 | b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self._load("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int32()))
         self._load("vocabulary", id=pa.array(ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in ranks]))
         self.words: tuple[dict, dict] = ({}, {})
@@ -165,14 +164,9 @@ class DuckBpe:
         self.db.unregister("positions")
 
 
-_CODERS: dict[tuple[str, str], DuckBpe] = {}
-
-
 def coder(path: str, pattern: str) -> DuckBpe:
-    """One coder for each worker process, vocabulary and pattern."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = DuckBpe(path, pattern)
-    return _CODERS[path, pattern]
+    """The coder of this worker process."""
+    return resident(("bpe", path, pattern), lambda: DuckBpe(path, pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, extra: list[str] | None = None) -> DataFrame:
@@ -183,16 +177,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, extra: list[str] | N
     extra = extra or []
     rows, kinds, names = carried(docs, extra)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         bpe = coder(path, pattern)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for s in slices(texts):
-                ids = bpe.encode(texts[s])
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[s].astype("Int64").array, "ids": ids, "decoded": bpe.decode(ids)})
-                for n in names:
-                    out[n] = batch[n].iloc[s].array
-                yield out
-
-    out = rows.mapInPandas(run, "doc_id long, ids binary, decoded binary" + kinds)
+            for part, texts in text_slices(batch):
+                ids = bpe.encode(texts)
+                own = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *[part.column(n) for n in names]], ["doc_id", "ids", "decoded", *names])
+
+    out = rows.mapInArrow(run, "doc_id long, ids binary, decoded binary" + kinds)
     return with_extras(out, ["doc_id", "ids", "decoded"], extra, names)

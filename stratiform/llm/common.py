@@ -119,13 +119,32 @@ def slices(texts: list, most: int = 1 << 21) -> Iterator[slice]:
         yield slice(a, len(texts))
 
 
+def text_slices(batch, most: int = 1 << 21) -> Iterator[tuple[object, list]]:
+    """An Arrow batch cut by the length of its ``text`` column, each cut with its texts as Python strings.
+
+    Only one cut's texts are Python objects at a time; the other columns stay in Arrow.
+    """
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    a, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most or i == len(sizes) - 1:
+            part = batch.slice(a, i + 1 - a)
+            yield part, part.column("text").to_pylist()
+            a, held = i + 1, 0
+
+
 def carried(docs: DataFrame, extra: list[str]) -> tuple[DataFrame, str, list[str]]:
-    """doc_id and text under their plain names plus ``extra`` columns as c0, c1, ...; their schema; the new names.
+    """doc_id, text and the ``extra`` columns for a pass through Arrow; the schema of the extras; their names there.
 
-    Columns are carried through Python under names of our own, so theirs can't clash with a result's.
+    Columns are carried under names of our own (c0, c1, ...), so theirs can't clash with a result's; the text
+    itself goes once.
     """
-    names = [f"c{i}" for i in range(len(extra))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(extra, names, strict=True)])
+    names = ["text" if c == "text" and docs.schema[c].dataType.simpleString() == "string" else f"c{i}" for i, c in enumerate(extra)]
+    own = [(F.col(f"`{c}`").alias(n)) for c, n in zip(extra, names, strict=True) if n != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
     return rows, "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in names), names
 
 
@@ -138,3 +157,30 @@ def with_extras(out: DataFrame, own: list[str], extra: list[str], names: list[st
         return out.select(*own)
     back = out.select(*[F.col(n).alias(c) for c, n in zip(extra, names, strict=True)])
     return out.select(F.struct(*own).alias(fresh(back, "result")), *[F.col(n).alias(c) for c, n in zip(extra, names, strict=True)])
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make):
+    """What a worker process keeps between tasks, such as caches: that of one operator at a time.
+
+    Workers serve many operators in turn, so what the last one kept is let go when another begins.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        release()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -19,16 +19,16 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, slices, with_extras, words_of
+from .common import carried, resident, text_slices, with_extras, words_of
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SEGMENT = 48
@@ -51,22 +51,15 @@ class Model:
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     curve: np.ndarray | None = None
     prior: float = 0.0
-    keep: int = 250_000
-
-    def __post_init__(self):
-        self._seen: tuple[dict, dict] = ({}, {})
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_seen"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
+    keep: int = 150_000
+    #: Emissions of words met lately, and of those before them.
+    seen: list[dict] = field(default_factory=lambda: [{}, {}], repr=False)
 
     def emissions(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         """For each token the log odds of the toxic state that it gives by itself."""
-        now, older = self._seen if len(self._seen[0]) <= self.keep else ({}, self._seen[0])
-        self._seen = now, older
+        if len(self.seen[0]) > self.keep:
+            self.seen[:] = {}, self.seen[0]
+        now, older = self.seen
         get = self.weights.get
         for w in set().union(*docs) - now.keys():
             if (e := older.get(w)) is None:
@@ -309,19 +302,23 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.n
 def score_documents(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
     """doc_id, score, expected_tokens and spans of every document; with ``extra`` columns, see ``with_extras``."""
     spark, extra = docs.sparkSession, extra or []
+    model.seen = [{}, {}]
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
     rows, kinds, names = carried(docs, extra)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key = ("crf", uuid.uuid4().hex)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         m = shared.value
+        m.seen = resident(key, lambda: [{}, {}])
         for batch in batches:
-            texts = batch["text"].tolist()
-            for s in slices(texts, 8_000_000):
-                score, total, spans = score_texts(m, texts[s])
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[s].astype("Int64").array, "score": score, "expected_tokens": total, "spans": [[{"start": a, "end": b} for a, b in x] for x in spans]})
-                for n in names:
-                    out[n] = batch[n].iloc[s].array
-                yield out
-
-    out = rows.mapInPandas(run, SCORED + kinds)
+            for part, texts in text_slices(batch):
+                score, total, spans = score_texts(m, texts)
+                own = [part.column("doc_id"), pa.array(score, pa.float64()), pa.array(total, pa.float64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], found)]
+                yield pa.RecordBatch.from_arrays([*own, *[part.column(n) for n in names]], ["doc_id", "score", "expected_tokens", "spans", *names])
+
+    out = rows.mapInArrow(run, SCORED + kinds)
     return with_extras(out, ["doc_id", "score", "expected_tokens", "spans"], extra, names)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, kept, scratch, slices
+from .common import filesystem, kept, resident, scratch, slices
 from .eliasfano import TokenFile, TokenFileWriter
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -88,14 +88,9 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of this worker process."""
+    return resident(("words", path), lambda: WordEncoder(path))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
