@@ -2,7 +2,8 @@
 
 A merge table holds every pair of tokens whose bytes together are a token. The recursive query starts from a
 word's single bytes; each round lists the token positions of the words still going on, joins them with the merge
-table, and contracts each word's leftmost pair of minimum rank, until no pair is left. A word that is itself a
+table, and contracts each word's leftmost pair of minimum rank, until no pair is left (a word of over 2,048 bytes is
+contracted by the same rule with a heap). A word that is itself a
 token is that token. Decoding joins (document, position, id) rows with the vocabulary and gathers the bytes in
 position order.
 
@@ -46,6 +47,10 @@ DECODE = """
 SELECT doc, array_to_string(list(bytes ORDER BY pos), '') AS bytes
 FROM positions JOIN vocabulary USING (id) GROUP BY doc
 """
+#: Words of more bytes are contracted with a heap: rounds over them would cost the square of their length.
+LONG = 2048
+#: Most words that one encoding query takes.
+BATCH = 50_000
 #: Most ids that one decoding query takes.
 RUN = 1 << 19
 #: White space before a space that other white space or the end follows, where cutting at spaces isn't safe.
@@ -79,6 +84,7 @@ class DuckBpe:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self._load("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int32()))
         self._load("vocabulary", id=pa.array(ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in ranks]))
+        self.merge_of: dict[int, int] | None = None
         self.words: tuple[dict, dict] = ({}, {})
         self.pieces: tuple[dict, dict] = ({}, {})
 
@@ -100,10 +106,11 @@ class DuckBpe:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of the pattern, each as little-endian 32-bit integers."""
         pa, raw, out = self.pa, [w.encode() for w in words], []
-        hard = [b for b in raw if b not in self.ranks]
-        coded: dict[bytes, bytes] = {}
-        for a in range(0, len(hard), 50_000):
-            some = hard[a : a + 50_000]
+        unknown = [b for b in raw if b not in self.ranks]
+        coded: dict[bytes, bytes] = {b: self._by_heap(b) for b in unknown if len(b) > LONG}
+        hard = [b for b in unknown if len(b) <= LONG]
+        for a in range(0, len(hard), BATCH):
+            some = hard[a : a + BATCH]
             single = self.single
             start = pa.array([[single[b] for b in w] for w in some], pa.list_(pa.int32()))
             self.db.register("fresh", pa.table({"word": pa.array(range(len(some)), pa.int32()), "tokens": start}))
@@ -117,6 +124,31 @@ class DuckBpe:
             out.append(coded[b] if rank is None else rank.to_bytes(4, "little"))
         return out
 
+    def _by_heap(self, word: bytes) -> bytes:
+        """The same contractions for one very long word, with a heap instead of a round for each."""
+        import heapq
+
+        if self.merge_of is None:
+            self.merge_of = dict(self.db.sql("SELECT pair, merged FROM merges").fetchall())
+        get = self.merge_of.get
+        ids = [self.single[b] for b in word]
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i = heapq.heappop(heap)
+            j = after[i] if ids[i] is not None else n
+            if j >= n or get(ids[i] << 32 | ids[j]) != m:
+                continue  # one of the pair has been merged meanwhile
+            ids[i], ids[j], after[i] = m, None, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (x := get(ids[a] << 32 | ids[after[a]])) is not None:
+                    heapq.heappush(heap, (x, a))
+        return b"".join(x.to_bytes(4, "little") for x in ids if x is not None)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = []

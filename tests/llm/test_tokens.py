@@ -65,7 +65,7 @@ def test_byte_bpe_equals_the_library(docs_of, prose):
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-    texts = TEXTS + ["a  b", "a   b \n c", "a \n \n b", " lead", "trail ", "trail  ", "\n\n x", "x\t y", "x \n ", prose(1, 500)]
+    texts = TEXTS + ["a  b", "a   b \n c", "a \n \n b", " lead", "trail ", "trail  ", "\n\n x", "x\t y", "x \n ", prose(1, 500), prose(3, 4000).replace(" ", ""), "é" * 9000, " " * 5000 + "x", "1234567890" * 700]
     got = encode_decode(docs_of(list(enumerate(texts))), path, P.PATTERN, extra=["doc_id", "result"]).collect()
     assert len(got) == len(texts)
     for r in got:
