@@ -50,9 +50,9 @@ FROM positions JOIN vocabulary USING (id) GROUP BY doc
 #: Words of more bytes are contracted with a heap: rounds over them would cost the square of their length.
 LONG = 2048
 #: Most words that one encoding query takes.
-BATCH = 50_000
+BATCH = 20_000
 #: Most ids that one decoding query takes.
-RUN = 1 << 19
+RUN = 1 << 18
 #: White space before a space that other white space or the end follows, where cutting at spaces isn't safe.
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
 
@@ -65,7 +65,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Encoder and decoder of one worker, with its own in-memory DuckDB."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 100_000):
+    def __init__(self, path: str, pattern: str, keep: int = 120_000):
         import duckdb
         import pyarrow as pa
         import regex
@@ -81,7 +81,7 @@ class DuckBpe:
                 if a is not None and b is not None:
                     pairs.append(a << 32 | b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._load("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int32()))
         self._load("vocabulary", id=pa.array(ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in ranks]))
         self.merge_of: dict[int, int] | None = None

@@ -98,6 +98,16 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bounds the bytes of the batches that go to Python workers, where the session has Spark's default.
+
+    Texts may be long, and a batch is held by the executor's JVM and by its worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(key, most)
+
+
 def remove(uri: str) -> None:
     """Deletes a folder of the shared store; absent ones are no error."""
     f, path = filesystem(uri)
@@ -142,6 +152,7 @@ def carried(docs: DataFrame, extra: list[str]) -> tuple[DataFrame, str, list[str
     Columns are carried under names of our own (c0, c1, ...), so theirs can't clash with a result's; the text
     itself goes once.
     """
+    bounded_batches(docs.sparkSession)
     names = ["text" if c == "text" and docs.schema[c].dataType.simpleString() == "string" else f"c{i}" for i, c in enumerate(extra)]
     own = [(F.col(f"`{c}`").alias(n)) for c, n in zip(extra, names, strict=True) if n != "text"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
