@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, kept, scratch, slices, words_of
+from .common import bounded_batches, fits_broadcast, kept, scratch, slices, words_of
 from .components import components
 
 BINS = 128
@@ -122,7 +122,7 @@ def paths(s: np.ndarray, runs: int, seed: int) -> list[list[int]]:
     return out
 
 
-SIGNATURES = "doc_id long, sid binary, n int, sketch binary, p1 array<long>, p2 array<long>, p3 array<long>"
+SIGNATURES = "doc_id long, text_hash long, sid binary, n int, sketch binary, p1 array<long>, p2 array<long>, p3 array<long>"
 
 
 def signatures(docs: DataFrame, runs: int, seed: int) -> DataFrame:
@@ -133,12 +133,18 @@ def signatures(docs: DataFrame, runs: int, seed: int) -> DataFrame:
             for part in slices(texts):
                 sets = sh.sets(texts[part])
                 deep = [paths(s, runs, seed) for s in sets]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64"), "sid": [sh.key(s) for s in sets], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], **{f"p{k + 1}": [d[k] for d in deep] for k in range(DEPTH)}})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64"), "text_hash": batch["text_hash"].iloc[part], "sid": [sh.key(s) for s in sets], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], **{f"p{k + 1}": [d[k] for d in deep] for k in range(DEPTH)}})
 
-    return _texts(docs).mapInPandas(run, SIGNATURES)
+    return _texts(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInPandas(run, SIGNATURES)
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -339,7 +345,7 @@ def exact_links(docs: DataFrame, members: DataFrame, threshold: float, broadcast
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, seed: int = 7) -> DataFrame:
-    """A row for each document: doc_id, class_id, n_links (other documents at the threshold or above),
+    """A row for each document: doc_id, text_hash, class_id, n_links (other documents at the threshold or above),
     n_copies (documents with an equal set, itself included), n_near (different sets linked)."""
     spark = docs.sparkSession
     where = scratch(spark, "near")
@@ -364,13 +370,27 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998,
         F.col("copies").alias("n_copies"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
-    return sig.select("doc_id", "sid").join(kept(classes), "sid").select("doc_id", "class_id", "n_links", "n_copies", "n_near")
+    return sig.select("doc_id", "text_hash", "sid").join(kept(classes), "sid").select("doc_id", "text_hash", "class_id", "n_links", "n_copies", "n_near")
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """The documents without those that aren't their class's first; all columns stay.
 
-    Rows that repeat the kept doc_id with an equal text are reduced to one as well."""
-    gone = kept(classes.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
+    Where several rows carry the kept doc_id, the one of least text hash stays, once. Rows without a doc_id
+    stay unless their class has a document with one.
+    """
+    seen = kept(classes.select("doc_id", "text_hash", "class_id"))
+    twice = kept(seen.where(F.col("doc_id") == F.col("class_id")).groupBy("class_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("first")).where("n > 1"))
+    gone = seen.where("class_id is not null and (doc_id is null or doc_id <> class_id)").select("doc_id", "text_hash")
+    repeated = not twice.isEmpty()
+    if repeated:
+        more = seen.where(F.col("doc_id") == F.col("class_id")).join(twice, "class_id").where("text_hash <> first")
+        gone = gone.union(more.select("doc_id", "text_hash"))
+    gone = kept(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct())
     side = F.broadcast(gone) if fits_broadcast(gone, broadcast_rows) else gone
-    return docs.join(side, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone")) & (text_hash(F.col("text")) == F.col("_gone_text")), "left_anti")
+    if not repeated:
+        return left
+    again = twice.select(F.col("class_id").alias("_twice"))
+    one = F.col("doc_id") == F.col("_twice")
+    return left.join(again, one, "left_anti").unionByName(left.join(again, one, "left_semi").dropDuplicates(["doc_id"]))

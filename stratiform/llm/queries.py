@@ -30,7 +30,7 @@ def op5_shard_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearjoin import near_classes
 
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,10 @@ def test_empty_and_one_of_each(docs_of, spark):
     df = docs_of([(2, "a b c d e f"), (1, "a b c d e f"), (3, "other words stand here now")])
     kept = one_of_each(df, near_classes(df))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == df.columns
+    same = "a b c d e f"
+    df = docs_of([(5, same), (5, same), (5, "A b c d e f"), (5, "quite other words are in here"), (2, "quite other words are in here"), (None, same), (None, "on my own without any id"), (7, None), (8, "")])
+    got = one_of_each(df, near_classes(df)).collect()
+    assert sorted(((r.doc_id, r.text.lower() if r.text else r.text) for r in got), key=str) == sorted([(2, "quite other words are in here"), (5, same), (None, "on my own without any id"), (7, None)], key=str)
 
 
 def test_components(spark):
