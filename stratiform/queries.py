@@ -132,8 +132,8 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plant_of_event(df: DataFrame) -> DataFrame:
-    """Event types as plants of the orders, so the gold join has partners."""
-    return df.withColumn("plant_code", F.concat(F.lit("NAT-"), F.pmod(F.crc32("plant_code"), F.lit(25)).cast("string")))
+    """Events dealt evenly over the orders' 25 plants (NAT-0 to NAT-24), so the gold join has partners everywhere."""
+    return df.withColumn("plant_code", F.concat(F.lit("NAT-"), F.pmod(F.col("spindle_rpm").cast("int"), F.lit(25)).cast("string")))
 
 
 @query(f"""WITH {TELEMETRY}, {MINUTE}, {ORDERS},
@@ -142,10 +142,10 @@ SELECT five.plant_code, machine_id, b AS window_start_utc, b + INTERVAL 5 MINUTE
        production_order_id AS active_production_order_id, material_id
 FROM five LEFT JOIN (SELECT CASE uom WHEN '1-URGENT' THEN 'click' WHEN '2-HIGH' THEN 'view' ELSE 'none' END AS plant_code, production_order_id, material_id FROM po WHERE status IN ('REL', 'CNF') AND production_order_id::BIGINT < 200) USING (plant_code)""")
 def gold_oee_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver = _minute(spark, sf_dir)
-    mapped = F.when(F.col("uom") == "1-URGENT", "click").when(F.col("uom") == "2-HIGH", "view").otherwise("none")
-    po = transforms.normalise_orders(td.orders(spark, sf_dir)).where(F.col("production_order_id").cast("long") < 200).withColumn("plant_code", mapped)
-    return _shown(transforms.gold_oee(silver, po))
+    _utc(spark)
+    events = td.telemetry(spark, sf_dir).where("plant_code IS NOT NULL AND machine_id IS NOT NULL")
+    silver = transforms.rollup(_plant_of_event(events))
+    return _shown(transforms.gold_oee(silver, transforms.normalise_orders(td.orders(spark, sf_dir))))
 
 
 @query(f"WITH {TELEMETRY} SELECT plant_code, machine_id, event_ts, vibration_g, temperature_c, spindle_rpm, event_ts AS kafka_ingest_ts FROM tel WHERE plant_code IS NOT NULL AND machine_id IS NOT NULL")
