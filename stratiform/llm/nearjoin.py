@@ -6,7 +6,8 @@ is a path, and every path picks on in the same way, so two similar sets keep a c
 at any depth. Buckets of one path are split by the next picks while they are large; small ones, and those
 at the last depth, are compared by brute force on sketches (128 minima of 16 bits). Runs are repeated until the
 chance of missing a pair at the threshold is under 1 - ``recall``. A bucket at the last depth that is still large is
-dealt out in chunks that share pivots, so no task gets a whole hot group.
+dealt out in chunks, and every pair of chunks is compared as a block, so no task gets a whole hot group and no pair
+of a bucket is left out.
 
 What passes joins nodes to candidate groups; inside each, all pairs of sets are compared exactly, in blocks of
 bounded size, which gives every node's number of links and the true classes. Pairs are never written out: blocks
@@ -35,7 +36,8 @@ DEPTH = 3
 PICKS = 2.0
 #: Buckets up to this size are compared whole.
 SMALL = 48
-#: Size of the chunks of larger buckets at the last depth, and how many pivots all chunks share.
+#: Size of the chunks of larger buckets at the last depth, and after how many rows of a block those that are tied
+#: together by then aren't compared with each other any more.
 CHUNK, PIVOTS = 1024, 32
 #: Hashed runs in one block of the exact comparison.
 BLOCK = 1_000_000
@@ -149,7 +151,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def leaf_buckets(sig: DataFrame) -> DataFrame:
-    """(path, chunk, sid) of the buckets to compare: no singletons, none large before the last depth."""
+    """(path, a, b, own, sid) of the blocks to compare, each of one chunk (a = b) or of two chunks of a bucket.
+
+    No bucket is a singleton, none is large before the last depth.
+    """
     leaves, hot = [], None
     for depth in range(1, DEPTH + 1):
         if depth == 1:
@@ -166,24 +171,16 @@ def leaf_buckets(sig: DataFrame) -> DataFrame:
             hot = kept(placed.where(F.col("size") > SMALL).select(F.col("path").alias("parent")).distinct())
             hot = F.broadcast(hot) if fits_broadcast(hot, 500_000) else hot
     found = leaves[0].union(leaves[1]).union(leaves[2])
-    whole = found.where(F.col("size") <= CHUNK).select("path", F.lit(0).alias("chunk"), "sid")
-    large = found.where(F.col("size") > CHUNK).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    dealt = large.select("path", F.pmod(F.xxhash64("path", "sid"), F.col("chunks")).cast("int").alias("chunk"), "sid")
-    pivot = F.row_number().over(_first_by("path", F.xxhash64("path", "sid")))
-    pivots = large.withColumn("k", pivot).where(F.col("k") <= PIVOTS).select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sid")
-    return whole.union(dealt).union(pivots).distinct()
+    chunks = F.when(F.col("size") > CHUNK, F.ceil(F.col("size") / CHUNK)).otherwise(1).cast("int")
+    dealt = found.distinct().withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("path", "sid"), F.col("chunks")).cast("int"))
+    each = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return each.select("path", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "own", "sid")
 
 
 def _pair_at(name: str):
     return lambda i: F.struct(F.col(name)[i].alias("parent"), F.col(name)[i + 1].alias("path"))
 
 
-def _first_by(key: str, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
 def _groups(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows of sorted batches by their first ``keys`` columns."""
     at, rows = None, []
@@ -219,16 +216,25 @@ class Forest:
 
 
 def _candidates(rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes]]:
-    """A forest over the members of a bucket whose sketches may belong to sets at the threshold."""
-    sids = [bytes(r[2]) for r in rows]
-    sk = np.frombuffer(b"".join(bytes(r[4]) for r in rows), dtype=np.uint16).reshape(len(rows), BINS)
-    n = np.array([r[3] for r in rows])
-    forest = Forest(len(rows))
-    for i in range(len(rows) - 1):
-        fits = np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :]) - 1e-9
+    """A forest over the members of a block whose sketches may belong to sets at the threshold.
+
+    Rows are (path, a, b, own, sid, n, sketch), sorted by own; of a block of two chunks, only pairs across are compared.
+    """
+    sids = [bytes(r[4]) for r in rows]
+    sk = np.frombuffer(b"".join(bytes(r[6]) for r in rows), dtype=np.uint16).reshape(len(rows), BINS)
+    n = np.array([r[5] for r in rows])
+    _, a, b = rows[0][:3]
+    first = len(rows) if a == b else sum(r[3] == a for r in rows)  # rows that are compared with later ones
+    forest, tied = Forest(len(rows)), np.arange(len(rows))
+    for i in range(min(first, len(rows) - 1)):
+        if i == PIVOTS:
+            tied = np.array([forest.root(j) for j in range(len(rows))])
+        after = i + 1 if a == b else first
+        fits = np.minimum(n[i], n[after:]) >= threshold * np.maximum(n[i], n[after:]) - 1e-9
+        fits &= tied[after:] != tied[i]
         if not fits.any():
             continue
-        others = np.flatnonzero(fits) + i + 1
+        others = np.flatnonzero(fits) + after
         same = ((sk[i] == sk[others]) & (sk[i] > 0)).sum(axis=1)
         used = ((sk[i] > 0) | (sk[others] > 0)).sum(axis=1)
         least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
@@ -239,11 +245,11 @@ def _candidates(rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes]
 
 def candidate_edges(buckets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b) pairs of sids that hold each bucket's candidates together."""
-    rows = buckets.join(nodes.select("sid", "n", "sketch"), "sid").select("path", "chunk", "sid", "n", "sketch")
+    rows = buckets.join(nodes.select("sid", "n", "sketch"), "sid").select("path", "a", "b", "own", "sid", "n", "sketch")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: set[tuple[bytes, bytes]] = set()
-        for _, group in _groups(batches, 2):
+        for _, group in _groups(batches, 3):
             if len(group) > 1:
                 out.update((min(e), max(e)) for e in _candidates(group, threshold))
             if len(out) > 20_000:
@@ -252,7 +258,7 @@ def candidate_edges(buckets: DataFrame, nodes: DataFrame, threshold: float) -> D
         if out:
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    return rows.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "sid").mapInPandas(run, "a binary, b binary").distinct()
+    return rows.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "own", "sid").mapInPandas(run, "a binary, b binary").distinct()
 
 
 COMPARED = "sid binary, other binary, links long, linked_docs long, label long, whole boolean"

@@ -63,6 +63,22 @@ def test_large_bucket_of_near_copies(docs_of, prose, monkeypatch):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
 
 
+def test_near_pairs_among_strangers_of_one_bucket(spark, monkeypatch):
+    from stratiform.llm import nearjoin
+
+    monkeypatch.setattr(nearjoin, "SMALL", 4)
+    monkeypatch.setattr(nearjoin, "CHUNK", 16)
+    monkeypatch.setattr(nearjoin, "PIVOTS", 2)
+    rng, rows = np.random.default_rng(3), []
+    for i in range(60):
+        set_ = np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64))
+        for k, s in enumerate((set_, set_[np.arange(len(set_)) % 10 > 0])):
+            rows.append((2 * i + k, 0, f"{2 * i + k:03d}".encode(), len(s), nearjoin.sketch(s), [11], [11, 12], [12, 13]))
+    sig = spark.createDataFrame(rows, nearjoin.SIGNATURES)
+    edges = nearjoin.candidate_edges(nearjoin.leaf_buckets(sig), sig.select("sid", "n", "sketch"), 0.8).collect()
+    assert {(int(bytes(r.a)), int(bytes(r.b))) for r in edges} == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
 def test_empty_and_one_of_each(docs_of, spark):
     none = docs_of([(1, "x")]).limit(0)
     assert near_classes(none).count() == 0
