@@ -317,13 +317,14 @@ def _store(spark: SparkSession):
 
 
 def _stream(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    from .sources.readers import replay_envelopes
+    from .sources.readers import replay_envelopes, replayed_by_name
     from .streaming.telemetry import start_rollup
 
     _utc(spark)
     store = _store(spark)
     files = f"{store.root}/replay"
     td.envelopes(spark, sf_dir).repartitionByRange(4, "timestamp").write.parquet(files)
+    replayed_by_name(spark, files)
     query = start_rollup(store, replay_envelopes(spark, files), "silver.telemetry", f"{store.root}/checkpoint", mode, every=None, watermark="3650 days" if mode == "update" else "10 minutes")
     query.awaitTermination()
     return _shown(store.read("silver.telemetry").drop("ingested_at")).withColumnRenamed("vibration_g_p100", "vibration_g_max")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,22 @@ def replay_envelopes(spark: SparkSession, path: str, max_files: int = 1) -> Data
     return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def replayed_by_name(spark: SparkSession, path: str) -> None:
+    """Gives Parquet files modification times in order of their names, by which a stream reads them one after another.
+
+    Files of parallel tasks are otherwise replayed in the order in which the tasks ended.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
+    first = int(time.time()) - len(files)
+    for k, f in enumerate(files):
+        fs.setTimes(f, (first + k) * 1000, -1)
+    if [fs.getFileStatus(f).getModificationTime() for f in files] != [(first + k) * 1000 for k in range(len(files))]:
+        raise OSError(f"modification times can't be set at {path}")
+
+
 def payloads(envelopes: DataFrame, ts_name: str = "kafka_ingest_ts") -> DataFrame:
     """The envelope's value as text, and its time."""
     return envelopes.selectExpr("CAST(value AS STRING) AS payload", f"timestamp AS {ts_name}")
