@@ -46,8 +46,11 @@ _STEP = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def runs_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is missed with a chance under 1 - recall, even at full depth."""
-    common = PICKS * 2 * threshold / (1 + threshold)
+    """Runs after which a pair at the threshold is missed with a chance under 1 - recall, even at full depth.
+
+    Common picks are 2 * intersection / larger set, least where one set holds the other.
+    """
+    common = PICKS * threshold
     p = 1.0
     for _ in range(depth):
         p = 1 - math.exp(-common * p)

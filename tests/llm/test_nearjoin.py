@@ -100,3 +100,11 @@ def test_components(spark):
 
 def test_runs():
     assert runs_for(0.99, 0.8) < runs_for(0.9999, 0.8)
+
+
+def test_runs_hold_for_sets_of_unequal_size():
+    # One set holds the other: 1.6 common picks at 0.8, of which a path to depth 3 is missed with 0.316 a run.
+    p = 1.0
+    for _ in range(3):
+        p = 1 - np.exp(-1.6 * p)
+    assert (1 - p) ** runs_for(0.998, 0.8) < 0.002
