@@ -4,12 +4,13 @@ A merge table holds every pair of tokens whose bytes together are a token. The r
 word's single bytes; each round lists the token positions of the words still going on, joins them with the merge
 table, and contracts each word's leftmost pair of minimum rank, until no pair is left (a word of over 2,048 bytes is
 contracted by the same rule with a heap). A word that is itself a
-token is that token. Decoding joins (document, position, id) rows with the vocabulary and gathers the bytes in
+token is that token. Decoding joins (word, position, id) rows with the vocabulary and gathers the bytes in
 position order.
 
-The pattern cuts texts into words; equal words are encoded once while a worker remembers them. A single
-space between two other characters starts a new word under every pattern whose words may begin with a space, so
-texts are first cut there, and only pieces that are new go through the pattern and the query.
+The pattern cuts texts into words. A single space between two other characters starts a new word under every
+pattern whose words may begin with a space, and a letter ends its word before a stop or comma, so texts are
+first cut there in Arrow; only different pieces reach Python, and only new ones the pattern and the queries. A
+text's ids and bytes are its pieces' ids and decoded bytes, put together in Arrow again.
 
 Defined cases: null text is empty (no ids, no bytes); special tokens' strings are ordinary text; texts of any
 length are decoded in runs of ids; an empty table gives no rows; extra columns are ignored.
@@ -18,30 +19,33 @@ length are decoded in runs of ids; an empty table gives no rows; extra columns a
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import carried, resident, text_slices, with_extras
+from .common import Remembered, arrow_slices, carried, distinct_of, joined, resident, with_extras
 
 ENCODE = """
-WITH RECURSIVE going(word, tokens) AS (
-    SELECT word, tokens FROM fresh
+WITH RECURSIVE going(word, tokens, done) AS (
+    SELECT word, tokens, false FROM fresh
     UNION ALL
-    SELECT word, list_concat(list_append(tokens[: pos - 1], merged), tokens[pos + 2 :])
-    FROM (
-        SELECT word, tokens, (best & 4294967295)::INT AS pos, (best >> 32)::INT AS merged
+    SELECT going.word,
+           CASE WHEN best IS NULL THEN tokens
+                ELSE list_concat(list_append(tokens[1 : (best & 4294967295)::INT - 1], (best >> 32)::INT), tokens[(best & 4294967295)::INT + 2 :]) END,
+           best IS NULL
+    FROM going LEFT JOIN (
+        SELECT word, min(merged::BIGINT << 32 | pos) AS best
         FROM (
-            SELECT word, any_value(tokens) AS tokens, min(merged::BIGINT << 32 | pos) AS best
-            FROM (SELECT word, tokens, unnest(range(1, len(tokens))) AS pos FROM going) AS positions
-            JOIN merges ON pair = (tokens[pos]::BIGINT << 32 | tokens[pos + 1])
-            GROUP BY word
-        )
-    )
+            SELECT word, unnest(tokens[1 : len(tokens) - 1]) AS a, unnest(tokens[2 :]) AS b, unnest(range(1, len(tokens))) AS pos
+            FROM going WHERE NOT done
+        ) AS positions
+        JOIN merges ON pair = (a::BIGINT << 32 | b)
+        GROUP BY word
+    ) AS least ON least.word = going.word
+    WHERE NOT done
 )
-SELECT word, arg_min(tokens, len(tokens)) AS tokens FROM going GROUP BY word ORDER BY word
+SELECT word, tokens FROM going WHERE done ORDER BY word
 """
 DECODE = """
 SELECT doc, array_to_string(list(bytes ORDER BY pos), '') AS bytes
@@ -53,8 +57,13 @@ LONG = 2048
 BATCH = 20_000
 #: Most ids that one decoding query takes.
 RUN = 1 << 18
-#: White space before a space that other white space or the end follows, where cutting at spaces isn't safe.
-_UNSAFE = re.compile(r"\s (?=\s|\Z)")
+#: Parts pieces in a text that doesn't hold it.
+PART = "\x1f"
+_BLANK = r"\x00-\x20\x7F-\x{A0}\x{1680}\x{2000}-\x{206F}\x{3000}"
+#: Texts in which cutting before every space, or at PART, may not be safe.
+_UNSAFE = f"\x1f|[{_BLANK}] (?:[{_BLANK}]|$)|  | $"
+#: A letter, then a stop or the like and a space: that is a word of its own under the pattern.
+_STOP = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([,.;:!?)] )"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,15 +74,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Encoder and decoder of one worker, with its own in-memory DuckDB."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 120_000):
+    def __init__(self, path: str, pattern: str, keep: int = 250_000):
         import duckdb
         import pyarrow as pa
         import regex
 
-        self.pa, self.keep = pa, keep
+        self.pa = pa
         self.cut = regex.compile(pattern).findall
         self.ranks = ranks = read_ranks(path)
-        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs, merged = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -85,44 +94,35 @@ class DuckBpe:
         self._load("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int32()))
         self._load("vocabulary", id=pa.array(ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in ranks]))
         self.merge_of: dict[int, int] | None = None
-        self.words: tuple[dict, dict] = ({}, {})
-        self.pieces: tuple[dict, dict] = ({}, {})
+        self.pieces = Remembered(self.code, 2, keep)
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("incoming", self.pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _known(self, caches: tuple[dict, dict], wanted: set[str]) -> tuple[dict, list[str]]:
-        """The cache with what is remembered of ``wanted``, and the rest of it."""
-        now, older = caches
-        wanted.difference_update(now)
-        now.update((w, older[w]) for w in wanted if w in older)
-        return now, [w for w in wanted if w not in older]
-
-    def _turn(self, caches: tuple[dict, dict]) -> tuple[dict, dict]:
-        return ({}, caches[0]) if len(caches[0]) > self.keep else caches
-
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of the pattern, each as little-endian 32-bit integers."""
-        pa, raw, out = self.pa, [w.encode() for w in words], []
-        unknown = [b for b in raw if b not in self.ranks]
-        coded: dict[bytes, bytes] = {b: self._by_heap(b) for b in unknown if len(b) > LONG}
-        hard = [b for b in unknown if len(b) <= LONG]
+        pa, raw = self.pa, [w.encode() for w in words]
+        coded: dict[bytes, bytes] = {}
+        hard = []
+        for b in raw:
+            if (rank := self.ranks.get(b)) is not None:
+                coded[b] = rank.to_bytes(4, "little")
+            elif len(b) > LONG:
+                coded[b] = self._by_heap(b)
+            else:
+                hard.append(b)
         for a in range(0, len(hard), BATCH):
             some = hard[a : a + BATCH]
-            single = self.single
-            start = pa.array([[single[b] for b in w] for w in some], pa.list_(pa.int32()))
-            self.db.register("fresh", pa.table({"word": pa.array(range(len(some)), pa.int32()), "tokens": start}))
+            tokens = pa.ListArray.from_arrays(_starts(map(len, some), len(some)), self.single[np.frombuffer(b"".join(some), dtype=np.uint8)])
+            self.db.register("fresh", pa.table({"word": np.arange(len(some), dtype=np.int32), "tokens": tokens}))
             got = self.db.sql(ENCODE).to_arrow_table()["tokens"].combine_chunks()
             self.db.unregister("fresh")
-            ends = (got.offsets.to_numpy() - got.offsets[0].as_py()) * 4
+            ends = ((got.offsets.to_numpy() - got.offsets[0].as_py()) * 4).tolist()
             ids = got.flatten().to_numpy().astype("<u4").tobytes()
-            coded.update((w, ids[i:j]) for w, i, j in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-        for b in raw:
-            rank = self.ranks.get(b)
-            out.append(coded[b] if rank is None else rank.to_bytes(4, "little"))
-        return out
+            coded.update((w, ids[i:j]) for w, i, j in zip(some, ends[:-1], ends[1:], strict=True))
+        return [coded[b] for b in raw]
 
     def _by_heap(self, word: bytes) -> bytes:
         """The same contractions for one very long word, with a heap instead of a round for each."""
@@ -131,7 +131,7 @@ class DuckBpe:
         if self.merge_of is None:
             self.merge_of = dict(self.db.sql("SELECT pair, merged FROM merges").fetchall())
         get = self.merge_of.get
-        ids = [self.single[b] for b in word]
+        ids = self.single[np.frombuffer(word, dtype=np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << 32 | ids[i + 1])) is not None]
@@ -149,51 +149,60 @@ class DuckBpe:
                     heapq.heappush(heap, (x, a))
         return b"".join(x.to_bytes(4, "little") for x in ids if x is not None)
 
+    def code(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids, and the bytes decoded from them, of pieces of text as :meth:`cut_texts` makes them."""
+        parts = {w: self.cut(w) for w in pieces if not (w[1:] if w[:1] == " " else w).isalpha()}
+        words = list({p for w in pieces for p in parts.get(w, (w,))})
+        ids = self.encode_words(words)
+        of = dict(zip(words, zip(ids, self.decode(ids), strict=True), strict=True))
+        both = [of[w] if w not in parts else (b"".join([of[p][0] for p in parts[w]]), b"".join([of[p][1] for p in parts[w]])) for w in pieces]
+        return [x for x, _ in both], [x for _, x in both]
+
+    def cut_texts(self, texts):
+        """A list array of the pieces of each text (an Arrow string array without nulls)."""
+        import pyarrow.compute as pc
+
+        pa = self.pa
+        odd = pc.match_substring_regex(texts, _UNSAFE)
+        plain = pc.replace_substring(pc.replace_substring_regex(texts.filter(pc.invert(odd)), _STOP, "\\1" + PART + "\\2"), " ", PART + " ")
+        plain = pc.split_pattern(plain, PART)
+        if not pc.any(odd).as_py():
+            return plain
+        rest = pa.array([self.cut(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        place = np.where(is_odd, len(plain) + np.cumsum(is_odd) - 1, np.cumsum(~is_odd) - 1)
+        return pa.concat_arrays([plain, rest]).take(pa.array(place))
+
+    def encode_decode(self, texts):
+        """Arrow binaries: each text's ids as little-endian 32-bit integers, and the bytes decoded from them."""
+        pieces, at, ends = distinct_of(self.cut_texts(texts))
+        columns, where = self.pieces.get(pieces)
+        at = self.pa.array(where).take(at)
+        return tuple(joined(c, at, ends) for c in columns)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif "  " in t or _UNSAFE.search(t):
-                split.append(self.cut(t))
-            else:
-                first, *rest = t.split(" ")
-                split.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        self.words, self.pieces = self._turn(self.words), self._turn(self.pieces)
-        words, unknown = self._known(self.words, set().union(*split))
-        parts = {w: self.cut(w) for w in unknown}
-        pieces, fresh = self._known(self.pieces, {p for ps in parts.values() for p in ps})
-        pieces.update(zip(fresh, self.encode_words(fresh), strict=True))
-        words.update((w, b"".join([pieces[p] for p in ps])) for w, ps in parts.items())
-        get = words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        return self.encode_decode(self.pa.array([t or "" for t in texts], self.pa.string()))[0].to_pylist()
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
-        """The bytes of each document's ids."""
-        out: list[list[bytes]] = [[] for _ in coded]
-        part: list[tuple[int, np.ndarray]] = []
-        held = 0
-        for doc, ids in enumerate(coded):
-            ids = np.frombuffer(ids, dtype="<u4").astype(np.int32)
-            for a in range(0, len(ids), RUN):
-                part.append((doc, ids[a : a + RUN]))
-                held += len(part[-1][1])
-                if held >= RUN:
-                    self._decode(part, out)
-                    part, held = [], 0
-        if part:
-            self._decode(part, out)
-        return [b"".join(x) for x in out]
-
-    def _decode(self, part: list[tuple[int, np.ndarray]], out: list[list[bytes]]) -> None:
-        pa = self.pa
-        ids = np.concatenate([x for _, x in part])
-        of = np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for _, x in part])
-        self.db.register("positions", pa.table({"doc": of, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-        for k, text in self.db.sql(DECODE).fetchall():
-            out[part[k][0]].append(text.encode("latin-1"))
-        self.db.unregister("positions")
+        """The bytes of each run of little-endian 32-bit ids."""
+        ids = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)
+        starts = _starts((len(x) // 4 for x in coded), len(coded))
+        of = np.repeat(np.arange(len(coded), dtype=np.int32), np.diff(starts))
+        out: list[bytes] = [b""] * len(coded)
+        for a in range(0, len(ids), RUN):
+            part = slice(a, a + RUN)
+            self.db.register("positions", self.pa.table({"doc": of[part], "pos": np.arange(len(ids[part]), dtype=np.int32), "id": ids[part]}))
+            for k, text in self.db.sql(DECODE).fetchall():
+                out[k] += text.encode("latin-1")
+            self.db.unregister("positions")
+        return out
+
+
+def _starts(sizes, n: int) -> np.ndarray:
+    out = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(np.fromiter(sizes, dtype=np.int32, count=n), out=out[1:])
+    return out
 
 
 def coder(path: str, pattern: str) -> DuckBpe:
@@ -211,12 +220,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, extra: list[str] | N
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         bpe = coder(path, pattern)
         for batch in batches:
-            for part, texts in text_slices(batch):
-                ids = bpe.encode(texts)
-                own = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(bpe.decode(ids), pa.binary())]
+            for part in arrow_slices(batch):
+                own = [part.column("doc_id"), *bpe.encode_decode(pc.fill_null(part.column("text"), ""))]
                 yield pa.RecordBatch.from_arrays([*own, *[part.column(n) for n in names]], ["doc_id", "ids", "decoded", *names])
 
     out = rows.mapInArrow(run, "doc_id long, ids binary, decoded binary" + kinds)

@@ -129,11 +129,8 @@ def slices(texts: list, most: int = 1 << 21) -> Iterator[slice]:
         yield slice(a, len(texts))
 
 
-def text_slices(batch, most: int = 1 << 21) -> Iterator[tuple[object, list]]:
-    """An Arrow batch cut by the length of its ``text`` column, each cut with its texts as Python strings.
-
-    Only one cut's texts are Python objects at a time; the other columns stay in Arrow.
-    """
+def arrow_slices(batch, most: int = 1 << 22) -> Iterator:
+    """An Arrow batch cut by the bytes of its ``text`` column, into slices of one row at least."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
@@ -141,11 +138,81 @@ def text_slices(batch, most: int = 1 << 21) -> Iterator[tuple[object, list]]:
     for i, n in enumerate(sizes):
         held += n
         if held >= most or i == len(sizes) - 1:
-            part = batch.slice(a, i + 1 - a)
-            yield part, part.column("text").to_pylist()
+            yield batch.slice(a, i + 1 - a)
             a, held = i + 1, 0
 
 
+def text_slices(batch, most: int = 1 << 21) -> Iterator[tuple[object, list]]:
+    """The slices of an Arrow batch, each with its texts as Python strings.
+
+    Only one slice's texts are Python objects at a time; the other columns stay in Arrow.
+    """
+    for part in arrow_slices(batch, most):
+        yield part, part.column("text").to_pylist()
+
+
+def distinct_of(lists):
+    """A list array's different elements, the index of each element in them, and where each list ends."""
+    import numpy as np
+
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices, ends - ends[0]
+
+
+def joined(values, at, ends):
+    """One binary for each list: ``values`` at its elements' indices ``at``, one after another, copied in Arrow."""
+    import numpy as np
+    import pyarrow as pa
+
+    run = values.take(at)
+    size = np.frombuffer(run.buffers()[1], np.int64, len(run) + 1, 8 * run.offset) if len(run) else np.zeros(1, np.int64)
+    offsets = (size[ends] - size[0]).astype(np.int32)
+    data = run.buffers()[2] if len(run) else None
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), data.slice(int(size[0])) if data is not None else pa.py_buffer(b"")])
+
+
+class Remembered:
+    """What was made of pieces of text met lately, in Arrow columns: two generations of about ``keep`` pieces.
+
+    ``make`` takes a list of new pieces and gives a list of binaries for each of ``width`` columns. Pieces of over
+    ``longest`` bytes aren't kept.
+    """
+
+    def __init__(self, make, width: int, keep: int, longest: int = 64):
+        import pyarrow as pa
+
+        self.make, self.keep, self.longest = make, keep, longest
+        self.none = [pa.array([], pa.string())] + [pa.array([], pa.large_binary()) for _ in range(width)]
+        self.now, self.older = self.none, self.none
+
+    def get(self, wanted) -> tuple[list, object]:
+        """Columns of values, and where in them those of each of the different pieces ``wanted`` are."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.now[0]) > self.keep:
+            self.now, self.older = self.none, self.now
+        at = pc.fill_null(pc.index_in(wanted, self.now[0]), -1).to_numpy().copy()
+        lack = np.flatnonzero(at < 0)
+        if not len(lack):
+            return self.now[1:], at
+        missing = wanted.take(pa.array(lack))
+        old = pc.fill_null(pc.index_in(missing, self.older[0]), -1).to_numpy()
+        back, fresh = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        n = len(self.now[0])
+        at[lack[back]] = n + np.arange(len(back))
+        at[lack[fresh]] = n + len(back) + np.arange(len(fresh))
+        new = missing.take(pa.array(fresh))
+        made = [pa.array(x, pa.large_binary()) for x in self.make(new.to_pylist())] if len(new) else self.none[1:]
+        came = pa.array(old[back])
+        full = [pa.concat_arrays([a, b.take(came), c]) for a, b, c in zip(self.now, self.older, [new, *made], strict=True)]
+        long = pc.binary_length(full[0]).to_numpy() > self.longest
+        self.now = [c.filter(pa.array(~long)) for c in full] if long.any() else full
+        return full[1:], at
+
+
 def carried(docs: DataFrame, extra: list[str]) -> tuple[DataFrame, str, list[str]]:
     """doc_id, text and the ``extra`` columns for a pass through Arrow; the schema of the extras; their names there.
 
