@@ -17,6 +17,8 @@ import numpy as np
 
 MAGIC = b"SFEF1\n"
 SAMPLE = 256
+#: Values packed together; a multiple of 8, so blocks of packed bits meet at bytes.
+BLOCK = 1 << 15
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -28,19 +30,30 @@ class EliasFano:
 
     @classmethod
     def build(cls, values) -> EliasFano:
-        base = int(values[0]) if len(values) else 0
-        v = np.fromiter((int(x) - base for x in values), dtype=np.uint64, count=len(values))
-        n = len(v)
-        if n and (v[1:] < v[:-1]).any():
-            raise ValueError("values must not decrease")
-        u = int(v[-1]) + 1 if n else 1
+        n = len(values)
+        base, last = (int(values[0]), int(values[-1])) if n else (0, 0)
+        return cls.from_blocks(n, base, last, ([int(x) for x in values[a : a + BLOCK]] for a in range(0, n, BLOCK)))
+
+    @classmethod
+    def from_blocks(cls, n: int, base: int, last: int, blocks) -> EliasFano:
+        """From lists of ``BLOCK`` values each (the last may be shorter), of which one is held at a time."""
+        u = last - base + 1
         low_bits = max(0, (u // max(n, 1)).bit_length() - 1)
-        tail = v & np.uint64((1 << low_bits) - 1)
-        bits = ((tail[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
-        unary[ones] = 1
-        return cls(n, low_bits, base, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
+        high = np.zeros((((u - 1 >> low_bits) + n + 7) >> 3) if n else 0, dtype=np.uint8)
+        low, samples, i, before = [], [], 0, base
+        for block in blocks:
+            if block[0] < before or any(x > y for x, y in zip(block, block[1:], strict=False)):
+                raise ValueError("values must not decrease")
+            before = block[-1]
+            v = np.array([x - base for x in block], dtype=np.uint64)
+            bits = (v[:, None] >> np.arange(low_bits, dtype=np.uint64)).astype(np.uint8) & 1
+            low.append(np.packbits(bits.ravel(), bitorder="little"))
+            ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(i, i + len(v))
+            np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+            samples.append(ones[-i % SAMPLE :: SAMPLE].astype(np.uint32))
+            i += len(v)
+        none = np.zeros(0, np.uint8)
+        return cls(n, low_bits, base, np.concatenate([none, *low]), high, np.concatenate([none.astype(np.uint32), *samples]))
 
     def __len__(self) -> int:
         return self.n
@@ -66,17 +79,6 @@ class EliasFano:
         chunk = int.from_bytes(self.low[a >> 3 : (b + 7) >> 3].tobytes(), "little")
         return (chunk >> (a & 7)) & ((1 << self.low_bits) - 1)
 
-    def all(self) -> list[int]:
-        """Every value, decoded together."""
-        if not self.n:
-            return []
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        upper = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            upper |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return [self.base + int(x) for x in upper]
-
     def parts(self) -> tuple[dict, bytes]:
         blobs = [x.tobytes() for x in (self.low, self.high, self.samples)]
         return {"n": self.n, "low_bits": self.low_bits, "base": self.base, "sizes": [len(b) for b in blobs]}, b"".join(blobs)
@@ -87,28 +89,69 @@ class EliasFano:
         return cls(head["n"], head["low_bits"], head["base"], np.frombuffer(blob, np.uint8, a), np.frombuffer(blob, np.uint8, b, a), np.frombuffer(blob, np.uint32, c // 4, a + b))
 
 
+class Rising:
+    """A non-decreasing sequence as the differences of its values, 7 bits a byte."""
+
+    def __init__(self):
+        self.n, self.base, self.last, self.raw = 0, 0, 0, bytearray()
+
+    def add(self, value: int) -> None:
+        if not self.n:
+            self.base = self.last = value
+        d = value - self.last
+        if d < 0:
+            raise ValueError("values must not decrease")
+        while d > 127:
+            self.raw.append(d & 127 | 128)
+            d >>= 7
+        self.raw.append(d)
+        self.n, self.last = self.n + 1, value
+
+    def blocks(self):
+        out, at, d, shift = [], self.base, 0, 0
+        for b in self.raw:
+            d |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                at += d
+                out.append(at)
+                d = shift = 0
+                if len(out) == BLOCK:
+                    yield out
+                    out = []
+        if out:
+            yield out
+
+    def packed(self) -> EliasFano:
+        return EliasFano.from_blocks(self.n, self.base, self.last, self.blocks())
+
+
 class TokenFileWriter:
-    """Streams documents into one file; only counts stay in memory."""
+    """Streams documents into one file; a few bytes for each document stay in memory."""
 
     def __init__(self, out, width: int = 2):
-        self.out, self.dtype = out, np.dtype(f"<u{width}")
-        self.ids, self.n_ids, self.nulls = [], 0, 0
-        self.bounds = [0]
+        self.out, self.width = out, width
+        self.ids, self.bounds, self.n_ids, self.nulls = Rising(), Rising(), 0, 0
+        self.bounds.add(0)
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    @property
+    def n_docs(self) -> int:
+        return self.bounds.n - 1
+
+    def add(self, doc_id: int | None, ids) -> None:
         """``ids``: the document's ids as little-endian integers of the file's width."""
         if doc_id is None:
             self.nulls += 1
         else:
-            self.ids.append(doc_id)
-        self.n_ids += len(ids) // self.dtype.itemsize
-        self.bounds.append(self.n_ids)
+            self.ids.add(doc_id)
+        self.n_ids += len(ids) // self.width
+        self.bounds.add(self.n_ids)
         self.out.write(ids)
 
     def close(self) -> None:
-        (bh, bb), (dh, db) = EliasFano.build(self.bounds).parts(), EliasFano.build(self.ids).parts()
-        foot = json.dumps({"width": self.dtype.itemsize, "n_ids": self.n_ids, "nulls": self.nulls, "bounds": bh, "docs": dh}).encode()
+        (bh, bb), (dh, db) = self.bounds.packed().parts(), self.ids.packed().parts()
+        foot = json.dumps({"width": self.width, "n_ids": self.n_ids, "nulls": self.nulls, "bounds": bh, "docs": dh}).encode()
         self.out.write(bb + db + foot + struct.pack("<I", len(foot)) + MAGIC)
         self.out.close()
 
@@ -150,9 +193,10 @@ class TokenFile:
         return np.frombuffer(self._at(len(MAGIC) + a * w, (b - a) * w), self.dtype)
 
     def scan(self):
-        """(doc_id, start, ids) of every document in order, reading the ids as a stream."""
-        bounds, docs = self.bounds.all(), [None] * self.head["nulls"] + self.docs.all()
-        w = self.dtype.itemsize
+        """(doc_id, start, ids) of every document in order, by one select each, reading the ids as a stream."""
+        w, a = self.dtype.itemsize, 0
         self.f.seek(len(MAGIC))
-        for doc, a, b in zip(docs, bounds[:-1], bounds[1:], strict=True):
-            yield doc, a, np.frombuffer(self.f.read((b - a) * w), self.dtype)
+        for i in range(len(self)):
+            b = self.bounds[i + 1]
+            yield self.doc_id(i), a, np.frombuffer(self.f.read((b - a) * w), self.dtype)
+            a = b
