@@ -94,6 +94,32 @@ def numbered(df: DataFrame, keys: list[str | Column], name: str = "row_no") -> t
     return out.drop(part, idx, base), total
 
 
+#: The order of an absent id: before all others.
+LOWEST = -(1 << 63)
+
+
+def range_bucket(rows: DataFrame, key: str, tie: str, n: int) -> tuple[Column, int]:
+    """The bucket from 0 of each row in ascending order of the long columns ``key`` (null first) and ``tie``; how many there are.
+
+    Bounds are quantiles of ``key`` alone, so only that column is read for them. A key that fills several buckets is
+    dealt over them by ``tie``, which should be a hash.
+    """
+    at = F.coalesce(F.col(key), F.lit(LOWEST))
+    cuts = sorted(rows.agg(F.percentile_approx(at, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [])
+    width = max(1, int(len(cuts) ** 0.5))
+    coarse = F.lit(cuts[width - 1 :: width]).cast("array<bigint>")
+
+    def count(under) -> Column:
+        """How many cuts are ``under``: by whole runs of ``width``, then by single ones."""
+        runs = F.size(F.filter(coarse, under))
+        rest = F.slice(F.lit(cuts).cast("array<bigint>"), runs * width + 1, F.lit(width))
+        return runs * width + F.size(F.filter(rest, under))
+
+    low, high = count(lambda c: c < at), count(lambda c: c <= at)
+    share = F.col(tie).cast("double") / float(1 << 64) + 0.5
+    return (low + F.least(high - low, F.floor(share * (high - low + 1)))).cast("int"), len(cuts) + 1
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,9 +1,9 @@
 """Binary token output: every document's ids in ascending doc_id order, in Elias-Fano files.
 
-Texts are tokenised where they lie, and only ids are kept and shuffled: they are written under the shared folder
-once, range-partitioned by doc_id (then by a hash of the text, so repeated or absent doc_ids don't end up in one
-task), and written as one file for each partition. The manifest has a row for each file; running sums over it give
-each file's first global offset, so a document's start is that plus one select.
+Texts are tokenised where they lie, and only ids are shuffled: into ranges of doc_id (then of a hash of the text, so
+repeated or absent doc_ids don't end up in one task), each written as one file under the shared folder. The
+manifest has a row for each file; running sums over it give each file's first global offset, so a document's start
+is that plus one select.
 
 Equal words are encoded once: white space always ends a token and is dropped, so a text's ids are its words'
 ids in order, put together in Arrow. Words that a worker hasn't met lately are encoded together, parted by a
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, arrow_slices, bounded_batches, distinct_of, filesystem, joined, kept, resident, scratch
+from .common import Remembered, arrow_slices, bounded_batches, default_parallelism, distinct_of, filesystem, joined, kept, range_bucket, resident, scratch
 from .eliasfano import TokenFile, TokenFileWriter
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -119,9 +119,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataF
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """Writes the files and returns the manifest: part, path, n_docs and n_ids, a row for each file."""
     spark = docs.sparkSession
-    folder, coded = folder or scratch(spark, "tokens"), scratch(spark, "ids")
-    encode_documents(docs, vocabulary, end_id).write.option("compression", "none").parquet(coded)
-    rows = spark.read.parquet(coded).repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "ids")
+    folder = folder or scratch(spark, "tokens")
+    bucket, n = range_bucket(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "text_hash", default_parallelism(spark))
+    coded = encode_documents(docs, vocabulary, end_id).withColumn("bucket", bucket)
+    rows = coded.repartitionById(n, "bucket").sortWithinPartitions("doc_id", "text_hash", "ids")
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
