@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam
-from .common import table
+from .common import fits_broadcast, kept, table
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,15 @@ def op9_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .editembed import fingerprint_documents
+    """With the search's results on rows whose doc_id is divisible by 100, the queries against all documents."""
+    from .editembed import fingerprint_documents, similar_documents
 
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    found = kept(similar_documents(docs, docs.where(asked)).withColumnRenamed("text_hash", "found_hash"))
+    side = F.broadcast(found) if fits_broadcast(found, 500_000) else found
+    out = fingerprint_documents(docs).join(side, asked & (F.col("text_hash") == F.col("found_hash")), "left")
+    return out.drop("text_hash", "found_hash")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
