@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, kept
+from .common import fits_broadcast, fresh, kept
 
 SPAN, GRAM = 13, 5
 WINDOW = SPAN - GRAM + 1
@@ -147,9 +147,10 @@ def _starts_around(marks: Column, g: Column, n_words: Column) -> Column:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = kept(contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
+    at, name = fresh(docs, "bad_id"), fresh(docs, "bad_hash")
+    bad = kept(contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(at), F.col("text_hash").alias(name)).distinct())
     side = F.broadcast(bad) if fits_broadcast(bad, broadcast_rows) else bad
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_bad_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(at)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(name))
     return docs.join(side, same, "left_anti")
 
 

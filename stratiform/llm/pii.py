@@ -1,19 +1,24 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts, in DataFrame functions only.
 
 The base kinds are regular expressions with a check for each (address parts, Luhn digits, digit counts). Their
-finds are seeds. Every other token that looks like an identifier (5 to 64 characters with a digit) is a candidate.
-Seeds and candidates give edges of a graph between instances and contexts: the two words before, and the word
-before with the word after. In each round a context's confidence is the summed score of its known instances over
-all its instances plus a prior of ``doubt`` unknown ones, contexts with enough support and confidence are
-high, and an instance's score is the noisy-or of its high contexts; scores of one round are the next one's knowledge.
-Candidates that stand in a high context at the end are added spans of kind ``ctx``; base spans always stay.
+finds are seeds, and so are tokens in well-known forms of keys and digests (``SECRETS``), which are no spans by
+themselves. Every other token that looks like an identifier (5 characters or more with a digit) is a candidate.
+Seeds and candidates give edges of a graph between instances and lexical patterns. These are made of the words
+beside the instance and of what stands between, punctuation included: the word before where punctuation follows it,
+also with the instance's shape (kinds of characters, length by powers of two), the two words before, and the word
+before with the word after. Words of over 64 characters, or further away than 16 others, give no pattern.
+
+In each round a pattern's confidence is the summed score of its known instances over all its instances plus a prior
+of ``doubt`` unknown ones, patterns with enough support and confidence are high, and an instance's score is the
+noisy-or of its high patterns; scores of one round are the next one's knowledge. Seeds and candidates outside base
+spans that stand in a high pattern at the end are added spans of kind ``ctx``; base spans always stay.
 
 Spans are in code points. Java's matcher would recurse once for each repetition of a group, so repetitions are
 possessive where nothing that follows could make them give back; a start inside a run that was already tried is
 ruled out by a look-behind. Both leave the matches as they are.
 
 Defined cases: null text is empty; equal texts get equal spans; a null doc_id stays null; an empty table gives no
-rows; extra columns are kept by :func:`redact` and ignored elsewhere, whatever their names.
+rows; repeated rows each get a row; extra columns are kept by :func:`redact` and ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, kept, scratch
+from .common import fits_broadcast, fresh, kept, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 #: Matches the same spans as the plain patterns, without deep recursion or quadratic retries.
@@ -33,7 +38,23 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 QUICK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CANDIDATE = r"(?<![A-Za-z0-9._@/+-])(?=[A-Za-z._@/+-]{0,63}[0-9])[A-Za-z0-9._@/+-]{4,63}[A-Za-z0-9](?![A-Za-z0-9])"
+CANDIDATE = r"(?<![A-Za-z0-9._@/+-])(?=[A-Za-z._@/+-]*+[0-9])[A-Za-z0-9._@/+-]{4,}[A-Za-z0-9](?![A-Za-z0-9])"
+#: Well-known forms of digests, unique ids, access keys and signed tokens.
+SECRETS = (
+    r"(?=[0-9a-f]*[a-f])[0-9a-f]{32,}",
+    r"(?=[0-9A-F]*[A-F])[0-9A-F]{32,}",
+    r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
+    r"A(?:KI|SI)A[0-9A-Z]{16}",
+    r"gh[oprsu]_[0-9A-Za-z]{36,}",
+    r"eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+",
+)
+_WORD, _OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+#: The word before with what follows it, the two words before, and the word after with what precedes it.
+BEFORE_1 = rf"(?<!{_WORD})({_WORD}{{1,64}}{_OTHER}{{0,16}})$"
+BEFORE_2 = rf"(?<!{_WORD})({_WORD}{{1,64}}{_OTHER}{{1,16}}{_WORD}{{1,64}}{_OTHER}{{0,16}})$"
+AFTER = rf"^({_OTHER}{{0,16}}{_WORD}{{1,64}})(?!{_WORD})"
+#: More characters than any context holds.
+BESIDE = 256
 BLOCK = 256
 _SPANS = "array<struct<k:int,s:int,e:int>>"
 
@@ -79,24 +100,31 @@ def _prepared(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFram
     return df.withColumn(f"b_{name}", F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(m) / BLOCK).cast("int") - 1), block)).otherwise(ints))
 
 
-def _contexts(left: Column, right: Column) -> Column:
-    """Context patterns from the texts on either side (60 characters of each are looked at)."""
-    tail, head = F.lower(F.right(left, F.lit(60))), F.lower(F.left(right, F.lit(60)))
-    l2, l1 = F.regexp_extract(tail, r"(\S+)\s+(\S+)\s*$", 1), F.regexp_extract(tail, r"(\S+)\s*$", 1)
-    r1 = F.regexp_extract(head, r"^\s*(\S+)", 1)
-    two = F.when(l2 != "", F.concat(F.lit("2 "), l2, F.lit(" "), l1))
-    both = F.when((l1 != "") & (r1 != ""), F.concat(F.lit("1 "), l1, F.lit(" _ "), r1))
-    return F.array_compact(F.array(two, both))
+def shape(v: Column) -> Column:
+    """The kinds of characters in an instance, and its length by powers of two."""
+    kinds = [F.when(v.rlike(pattern), name).otherwise("") for name, pattern in (("d", "[0-9]"), ("l", "[a-z]"), ("u", "[A-Z]"), ("s", "[^A-Za-z0-9]"))]
+    return F.concat(*kinds, F.floor(F.log2(F.length(v))).cast("string"))
+
+
+def _patterns(left: Column, v: Column, right: Column) -> Column:
+    """The lexical patterns of an instance between two texts."""
+    tail, head = F.lower(F.right(left, F.lit(BESIDE))), F.lower(F.left(right, F.lit(BESIDE)))
+    one, two, after = F.regexp_extract(tail, BEFORE_1, 1), F.regexp_extract(tail, BEFORE_2, 1), F.regexp_extract(head, AFTER, 1)
+    marked = F.when(one.rlike(r"[^\p{L}\p{N}_\s]"), F.concat(F.lit("1 "), one))
+    shaped = F.concat(marked, F.lit("\u2026"), shape(v))
+    both = F.when((one != "") & (after != ""), F.concat(F.lit("3 "), one, F.lit("\u2026"), after))
+    contexts = F.array(marked, shaped, F.when(two != "", F.concat(F.lit("2 "), two)), both)
+    return F.transform(F.array_compact(contexts), lambda c: F.regexp_replace(c, r"\s+", " "))
 
 
 def _finds(name: str, valid, contexts: bool) -> Column:
-    """Structs v, s, e (and p, its contexts) of a pattern's valid matches."""
+    """Structs v, s, e (and p, its patterns) of a pattern's valid matches."""
     m, g, lens, blocks = (F.col(f"{x}_{name}") for x in "mglb")
 
     def one(i: Column) -> Column:
         start = _before(lens, blocks, i) + F.length(g[i])
         parts = [m[i].alias("v"), start.alias("s"), (start + F.length(m[i])).alias("e")]
-        return F.struct(*parts, *([_contexts(g[i], g[i + 1]).alias("p")] if contexts else []))
+        return F.struct(*parts, *([_patterns(g[i], m[i], g[i + 1]).alias("p")] if contexts else []))
 
     kind = "array<struct<v:string,s:int,e:int" + (",p:array<string>" if contexts else "") + ">>"
     at = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: valid(m[i]))
@@ -104,7 +132,7 @@ def _finds(name: str, valid, contexts: bool) -> Column:
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """A row for each document: rid, doc_id, text_hash, base spans, seeds and candidates with their contexts."""
+    """A row for each document: rid, doc_id, text_hash, base spans, seeds, and other candidates (``known`` where they look like secrets), with their patterns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text")).withColumn("digit", F.col("text").rlike("[0-9]"))
     df = df.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
@@ -117,10 +145,11 @@ def extract(docs: DataFrame) -> DataFrame:
     df = df.withColumn("f_other", _finds("other", lambda m: F.lit(True), True))
     base = F.concat(*[F.transform(f"f_{k}", _as_span(i)) for i, k in enumerate(KINDS)]).cast(_SPANS)
     df = df.withColumn("base", base)
+    secret = "^(?:" + "|".join(SECRETS) + ")$"
     bare = lambda x: F.struct(x["v"].alias("v"), x["p"].alias("p"))
     seeds = F.concat(*[F.transform(f"f_{k}", bare) for k in KINDS])
     apart = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-    return df.select("rid", "doc_id", "text_hash", "base", seeds.alias("seeds"), F.filter("f_other", apart).alias("cands"))
+    return df.select("rid", "doc_id", "text_hash", "base", seeds.alias("seeds"), F.transform(F.filter("f_other", apart), lambda x: x.withField("known", x["v"].rlike(secret))).alias("cands"))
 
 
 def _checker(kind: str):
@@ -131,10 +160,16 @@ def _as_span(k: int):
     return lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
 
 
-def learn_contexts(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.75, doubt: float = 2.0) -> DataFrame:
-    """(p, confidence) of the contexts that are high after ``rounds`` rounds over the graph of ``found``."""
-    edge = lambda c, known: found.select(F.explode(c).alias("x")).select(F.col("x.v").alias("v"), F.explode("x.p").alias("p"), F.lit(known).alias("known"))
-    edges = kept(edge("seeds", 1).union(edge("cands", 0)).groupBy("p", "v").agg(F.max("known").alias("known")))
+def graph(found: DataFrame) -> DataFrame:
+    """The edges (p, v, known) of patterns and instances in ``found``, each once."""
+    seeds = found.select(F.explode("seeds").alias("x")).select("x.v", F.explode("x.p").alias("p"), F.lit(1).alias("known"))
+    cands = found.select(F.explode("cands").alias("x")).select("x.v", F.explode("x.p").alias("p"), F.col("x.known").cast("int").alias("known"))
+    return seeds.union(cands).groupBy("p", "v").agg(F.max("known").alias("known"))
+
+
+def learn_patterns(edges: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.75, doubt: float = 2.0) -> DataFrame:
+    """(p, confidence) of the patterns that are high after ``rounds`` rounds over the graph ``edges``."""
+    edges = kept(edges)
     scores = edges.where("known = 1").select("v", F.lit(1.0).alias("score")).distinct()
     high = None
     for _ in range(rounds):
@@ -153,7 +188,7 @@ def private_spans(docs: DataFrame, **options) -> DataFrame:
     where = scratch(docs.sparkSession, "pii")
     extract(docs).write.parquet(where)
     found = docs.sparkSession.read.parquet(where)
-    high = learn_contexts(found, **options)
+    high = learn_patterns(graph(found), **options)
     if high.isEmpty():
         return found.select("doc_id", "text_hash", "base", F.array().cast(_SPANS).alias("added"))
     side = high.select("p")
@@ -186,11 +221,12 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """The documents with their private spans replaced in ``text``; all columns stay, in order."""
-    found = private_spans(docs, **options).withColumn("_spans", F.concat("base", "added")).where(F.size("_spans") > 0)
-    found = kept(found.select(F.col("doc_id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), "_spans").dropDuplicates(["_pii_id", "_pii_hash"]))
+    found = private_spans(docs, **options).select("doc_id", "text_hash", F.concat("base", "added").alias("spans")).where(F.size("spans") > 0)
+    at, name, spans = (fresh(docs, n) for n in ("pii_id", "pii_hash", "pii_spans"))
+    found = kept(found.dropDuplicates(["doc_id", "text_hash"]).toDF(at, name, spans))
     side = F.broadcast(found) if fits_broadcast(found, broadcast_rows) else found
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(text) == F.col("_pii_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(at)) & (F.xxhash64(text) == F.col(name))
     out = docs.join(side, same, "left")
-    clean = F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    clean = F.when(F.col(spans).isNotNull(), redacted(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     return out.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
+#: Names that the operators use, or used, inside.
+CLASHING = "_spans pii_id pii_hash pii_spans _pii_id gone_id gone_text _gone twice_id _twice bad_id bad_hash _bad_id text_hash ids decoded spans bucket rid sid c0".split()
 
 
 @pytest.fixture
@@ -20,6 +24,7 @@ def docs_of(spark):
     """A documents table with clashing extra columns: docs_of([(doc_id, text), ...])."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, "en", "s", 0, "x", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, result string, score double")
+        df = spark.createDataFrame([(i, t, "en", "s", 0, "x", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, result string, score double")
+        return df.withColumns({name: F.lit(k) for k, name in enumerate(CLASHING)})
 
     return make

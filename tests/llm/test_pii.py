@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -47,6 +48,51 @@ def test_bootstrap_finds_unseen(docs_of, prose):
     assert pii.private_spans(docs_of(rows), support=1000).where("size(added) > 0").count() == 0
 
 
+def slow_patterns(edges, rounds, support, confidence, doubt):
+    """The scores of the graph, one edge after another."""
+    seeds = {v for _, v, known in edges if known}
+    score, high = dict.fromkeys(seeds, 1.0), {}
+    for _ in range(rounds):
+        high = {}
+        for p in {p for p, _, _ in edges}:
+            of = [score.get(v, 0.0) for q, v, _ in edges if q == p]
+            rate = sum(of) / (len(of) + doubt)
+            if sum(x >= 0.9 for x in of) >= support and rate >= confidence:
+                high[p] = rate
+        score = dict.fromkeys(seeds, 1.0)
+        for v in {v for _, v, _ in edges} - seeds:
+            miss = 1.0
+            for p, w, _ in edges:
+                if w == v and p in high:
+                    miss *= 1 - high[p]
+            if miss < 1:
+                score[v] = 1 - miss
+    return high
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_of_the_graph(spark, seed):
+    rng = random.Random(seed)
+    edges = {(f"p{p}", f"v{v}"): int(v % 3 < 2) for p in range(12) for v in rng.sample(range(60), rng.randint(4, 40)) if v % 3 < 2 or rng.random() < p / 11}
+    edges = [(p, v, known) for (p, v), known in edges.items()]
+    got = {r.p: r.confidence for r in pii.learn_patterns(spark.createDataFrame(edges, "p string, v string, known int"), 3, 5, 0.75, 2.0).collect()}
+    want = slow_patterns(edges, 3, 5, 0.75, 2.0)
+    assert set(got) == set(want) and want and all(got[p] == pytest.approx(want[p]) for p in got)
+
+
+def test_secrets_by_their_context(docs_of, prose):
+    """Digests seed the pattern ``api_key: '``; what stands there is found, the like elsewhere isn't."""
+    rng = random.Random(4)
+    digest = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1"
+    rows = [(i, f"{prose(i, 30)} API_KEY: '{digest()}' {prose(i + 50, 30)}") for i in range(12)]
+    long = "k9" * 60
+    rows += [(50, f"x api_key:   'Zx81-qq_{1}7' y"), (51, f"api_key: '{long}'"), (52, f"commit {digest()} of it"), (53, prose(9, 50) + " 1234567"), (54, f"api_key: '{'a' * 9}'")]
+    text = dict(rows)
+    found = {r.doc_id: [text[r.doc_id][x.s : x.e] for x in r.added] for r in pii.private_spans(docs_of(rows)).collect()}
+    assert all(found[i] == [re.search("'(.*)'", text[i])[1]] for i in range(12))
+    assert (found[50], found[51], found[52], found[53], found[54]) == (["Zx81-qq_17"], [long], [], [], [])
+
+
 def test_redact(docs_of):
     df = docs_of([(1, "é to a@b.co and 10.0.0.1."), (2, None), (3, "plain"), (3, "plain"), (None, "x 4111111111111111 y")])
     got = pii.redact(df)
