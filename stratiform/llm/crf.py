@@ -11,7 +11,7 @@ Scoring: every whole text goes through forward and backward recursions; the marg
 of toxic tokens, the score, and the offending spans in code points. Nothing but the text enters a score.
 
 Defined cases: null text is empty and scores as the fitted curve says of no tokens; null labels are left out;
-repeated labels of a document count once each; without labels of both classes every score is the share of toxic
+repeated labels of a document count once each; of documents that share a doc_id, one is learnt from; without labels of both classes every score is the share of toxic
 labels (0 without any); an empty table gives no rows; extra columns are ignored.
 """
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, resident, text_slices, with_extras, words_of
+from .common import carried, release, text_slices, with_extras, words_of
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SEGMENT = 48
@@ -143,7 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: in
     picks = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = picks[0].union(picks[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest)
-    sample = sorted((r.doc_id, r.toxic, r.text) for r in texts.join(F.broadcast(chosen), "doc_id").collect())
+    wanted = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    one = wanted.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))  # a row for each chosen document
+    sample = sorted((r.doc_id, r.toxic, r.text) for r in one.select("doc_id", "x.text").join(F.broadcast(chosen), "doc_id").collect())
     toxic = np.array([y for _, y, _ in sample], dtype=np.int64)
     if not 0 < toxic.sum() < len(toxic):
         return model
@@ -306,19 +307,18 @@ def score_documents(docs: DataFrame, model: Model, extra: list[str] | None = Non
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
     rows, kinds, names = carried(docs, extra)
 
-    key = ("crf", uuid.uuid4().hex)
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         m = shared.value
-        m.seen = resident(key, lambda: [{}, {}])
         for batch in batches:
             for part, texts in text_slices(batch):
                 score, total, spans = score_texts(m, texts)
                 own = [part.column("doc_id"), pa.array(score, pa.float64()), pa.array(total, pa.float64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], found)]
                 yield pa.RecordBatch.from_arrays([*own, *[part.column(n) for n in names]], ["doc_id", "score", "expected_tokens", "spans", *names])
+        m.seen = [{}, {}]
+        release()
 
     out = rows.mapInArrow(run, SCORED + kinds)
     return with_extras(out, ["doc_id", "score", "expected_tokens", "spans"], extra, names)
