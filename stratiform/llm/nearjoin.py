@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fits_broadcast, kept, scratch, slices, words_of
+from .common import bounded_batches, fits_broadcast, fresh, kept, release, scratch, slices, words_of
 from .components import components
 
 BINS = 128
@@ -39,8 +39,9 @@ SMALL = 48
 #: Size of the chunks of larger buckets at the last depth, and after how many rows of a block those that are tied
 #: together by then aren't compared with each other any more.
 CHUNK, PIVOTS = 1024, 32
-#: Hashed runs in one block of the exact comparison.
+#: Hashed runs in one chunk of the exact comparison; smaller groups are cut into chunks of FEW sets, up to SPREAD of them.
 BLOCK = 1_000_000
+FEW, SPREAD = 256, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -140,6 +141,9 @@ def signatures(docs: DataFrame, runs: int, seed: int) -> DataFrame:
                 deep = [paths(s, runs, seed) for s in sets]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64"), "text_hash": batch["text_hash"].iloc[part], "sid": [sh.key(s) for s in sets], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], **{f"p{k + 1}": [d[k] for d in deep] for k in range(DEPTH)}})
 
+        del sh
+        release()
+
     return _texts(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInPandas(run, SIGNATURES)
 
 
@@ -315,23 +319,29 @@ def _compare(key: tuple, rows: list[tuple], threshold: float) -> list[tuple]:
 def exact_links(docs: DataFrame, members: DataFrame, threshold: float, broadcast_rows: int = 400_000) -> DataFrame:
     """Compares all pairs inside each candidate group, block by block.
 
-    ``members``: sid, component, n, copies, rep. The texts of the representatives are read again; they aren't
-    shuffled while their list is small enough to send to every executor.
+    ``members``: sid, component, n, copies, rep and rep_text (doc_id and text hash of a row with that set). The texts
+    of the representatives are read again; they aren't shuffled while their list is small enough to send to
+    every executor.
     """
-    stats = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("g"))
-    wanted = kept(members.join(stats, "component").select("component", F.greatest("g", F.lit(1)).alias("g"), F.col("sid").alias("want"), "copies", "rep"))
+    chunks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.least(F.ceil(F.count("*") / FEW), F.lit(SPREAD)), F.lit(1)).cast("int")
+    stats = members.groupBy("component").agg(chunks.alias("g"))
+    wanted = kept(members.join(stats, "component").select("component", "g", F.col("sid").alias("want"), "copies", "rep", "rep_text"))
     side = F.broadcast(wanted) if fits_broadcast(wanted, broadcast_rows) else wanted.hint("merge")
-    texts = _texts(docs).join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("component", "g", "want", "copies", "rep", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (text_hash(F.col("text")) == F.col("rep_text"))
+    texts = _texts(docs).join(side, same).select("component", "g", "want", "copies", "rep", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh = Shingler()
+        sh, done = Shingler(), set()
         for batch in batches:
+            new = [w not in done and not done.add(w) for w in map(bytes, batch["want"])]  # repeated rows go once
+            batch = batch[new]
             body = batch.pop("text").tolist()
             for part in slices(body):
-                found = sh.sets(body[part])
                 out = batch.iloc[part].copy()
-                out["set"] = [s.tobytes() for s in found]
-                yield out[[sh.key(s) == bytes(w) for s, w in zip(found, out["want"], strict=True)]]
+                out["set"] = [s.tobytes() for s in sh.sets(body[part])]
+                yield out
+        del sh
+        release()
 
     one = texts.mapInPandas(sets, "component long, g int, want binary, copies long, rep long, set binary")
     own = F.pmod(F.xxhash64("want"), F.col("g")).cast("int")
@@ -360,10 +370,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998,
     where = scratch(spark, "near")
     signatures(docs, runs_for(recall, threshold), seed).write.parquet(where)
     sig = spark.read.schema(SIGNATURES).parquet(where)
-    nodes = kept(sig.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    nodes = sig.groupBy("sid").agg(first.alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = kept(nodes.select("sid", F.col("at.doc_id").alias("rep"), F.col("at.text_hash").alias("rep_text"), "copies", "n", "sketch"))
     edges = kept(candidate_edges(leaf_buckets(sig), nodes, threshold))
     groups = components(edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")))
-    members = nodes.withColumn("node", F.xxhash64("sid")).join(groups, "node").select("sid", "component", "n", "copies", "rep")
+    members = nodes.withColumn("node", F.xxhash64("sid")).join(groups, "node").select("sid", "component", "n", "copies", "rep", "rep_text")
     compared = kept(exact_links(docs, members, threshold))
     counts = compared.where("other is null").groupBy("sid").agg(F.sum("links").alias("n_near"), F.sum("linked_docs").alias("linked"), F.min("label").alias("label"))
     split = kept(compared.where("other is not null").select(F.col("sid").alias("u"), F.col("other").alias("v")))
@@ -395,11 +407,13 @@ def one_of_each(docs: DataFrame, classes: DataFrame, broadcast_rows: int = 500_0
     if repeated:
         more = seen.where(F.col("doc_id") == F.col("class_id")).join(twice, "class_id").where("text_hash <> first")
         gone = gone.union(more.select("doc_id", "text_hash"))
-    gone = kept(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct())
+    at, name = fresh(docs, "gone_id"), fresh(docs, "gone_text")
+    gone = kept(gone.toDF(at, name).distinct())
     side = F.broadcast(gone) if fits_broadcast(gone, broadcast_rows) else gone
-    left = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone")) & (text_hash(F.col("text")) == F.col("_gone_text")), "left_anti")
+    left = docs.join(side, F.col("doc_id").eqNullSafe(F.col(at)) & (text_hash(F.col("text")) == F.col(name)), "left_anti")
     if not repeated:
         return left
-    again = twice.select(F.col("class_id").alias("_twice"))
-    one = F.col("doc_id") == F.col("_twice")
+    more = fresh(docs, "twice_id")
+    again = twice.select(F.col("class_id").alias(more))
+    one = F.col("doc_id") == F.col(more)
     return left.join(again, one, "left_anti").unionByName(left.join(again, one, "left_semi").dropDuplicates(["doc_id"]))

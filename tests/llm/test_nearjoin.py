@@ -108,3 +108,29 @@ def test_runs_hold_for_sets_of_unequal_size():
     for _ in range(3):
         p = 1 - np.exp(-1.6 * p)
     assert (1 - p) ** runs_for(0.998, 0.8) < 0.002
+
+
+def test_recall_at_the_threshold(docs_of, prose):
+    """Of pairs with a similarity of 0.80 to 0.85, at least 98 in 100 are linked."""
+    def runs(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rows, pairs = [], 0
+    for k in range(1200):
+        words = prose(k, 60 + k % 140).split()
+        other = words[: max(5, round(len(words) * (0.8 + 0.001 * (k % 50))) )] if k % 2 else [*words[:-9], *prose(k + 5000, 9).split()]
+        a, b = " ".join(words), " ".join(other)
+        x, y = runs(a.lower()), runs(b.lower())
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            rows += [(2 * k, a), (2 * k + 1, b)]
+            pairs += 1
+    got = near_classes(docs_of(rows)).where("n_links > 0").count()
+    assert pairs > 300 and got >= 2 * 0.98 * pairs
+
+
+def test_documents_without_ids(docs_of, prose):
+    rows = [(None, prose(k % 40, 60)) for k in range(120)] + [(None, prose(k, 60) + " x") for k in range(40)] + [(1, prose(3, 60))]
+    got = near_classes(docs_of(rows)).collect()
+    assert len(got) == len(rows) and sum(r.class_id == 1 for r in got) == 5
+    assert all(r.n_near == 1 and r.n_links in (3, 4) for r in got)
