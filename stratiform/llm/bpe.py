@@ -54,7 +54,7 @@ FROM positions JOIN vocabulary USING (id) GROUP BY doc
 #: Words of more bytes are contracted with a heap: rounds over them would cost the square of their length.
 LONG = 2048
 #: Most words that one encoding query takes.
-BATCH = 20_000
+BATCH = 10_000
 #: Most ids that one decoding query takes.
 RUN = 1 << 18
 #: Parts pieces in a text that doesn't hold it.
@@ -74,11 +74,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Encoder and decoder of one worker, with its own in-memory DuckDB."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 250_000):
+    def __init__(self, path: str, pattern: str, keep: int = 150_000):
         import duckdb
         import pyarrow as pa
         import regex
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back sooner than Arrow's own
         self.pa = pa
         self.cut = regex.compile(pattern).findall
         self.ranks = ranks = read_ranks(path)
@@ -90,7 +91,7 @@ class DuckBpe:
                 if a is not None and b is not None:
                     pairs.append(a << 32 | b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": "", "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"})
         self._load("merges", pair=pa.array(pairs, pa.int64()), merged=pa.array(merged, pa.int32()))
         self._load("vocabulary", id=pa.array(ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in ranks]))
         self.merge_of: dict[int, int] | None = None
@@ -224,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, extra: list[str] | N
 
         bpe = coder(path, pattern)
         for batch in batches:
-            for part in arrow_slices(batch):
+            for part in arrow_slices(batch, 1 << 20):
                 own = [part.column("doc_id"), *bpe.encode_decode(pc.fill_null(part.column("text"), ""))]
                 yield pa.RecordBatch.from_arrays([*own, *[part.column(n) for n in names]], ["doc_id", "ids", "decoded", *names])
 

@@ -124,7 +124,7 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bounds the bytes of the batches that go to Python workers, where the session has Spark's default.
 
     Texts may be long, and a batch is held by the executor's JVM and by its worker at once.
