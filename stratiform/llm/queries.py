@@ -73,11 +73,11 @@ def op9_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the search's results on rows whose doc_id is divisible by 100, the queries against all documents."""
-    from .editembed import fingerprint_documents, similar_documents
+    from .editembed import fingerprint_documents, nearest_texts
 
     docs = table(spark, sf_dir, "documents")
     asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
-    found = kept(similar_documents(docs, docs.where(asked)).withColumnRenamed("text_hash", "found_hash"))
+    found = kept(nearest_texts(docs, docs.where(asked)).withColumnRenamed("text_hash", "found_hash"))
     side = F.broadcast(found) if fits_broadcast(found, 500_000) else found
     out = fingerprint_documents(docs).join(side, asked & (F.col("text_hash") == F.col("found_hash")), "left")
     return out.drop("text_hash", "found_hash")
