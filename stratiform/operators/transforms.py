@@ -12,6 +12,8 @@ from ..functions.instants import bucket_start, item_count, utc_from_local
 from ..sources.schemas import TELEMETRY
 
 ORDER_HASH_COLUMNS = ["production_order_id", "plant_code", "material_id", "quantity", "status"]
+#: What tells two versions of a silver order apart.
+SILVER_HASH_COLUMNS = ["production_order_id", "plant_code", "material_id", "quantity", "uom", "posting_ts_utc", "status", "customer_id", "item_count"]
 MATERIAL_COLUMNS = ["material_id", "material_description", "material_group", "uom", "spec_revision", "criticality_class", "is_aerospace_grade", "supplier_default_id"]
 ACTIVE = ("REL", "CNF")
 
@@ -48,7 +50,7 @@ def normalise_orders(orders: DataFrame) -> DataFrame:
 
 
 def flatten_orders(orders: DataFrame, null_items: int | None = -1) -> DataFrame:
-    """Nested orders as flat rows with UTC times, item counts and a hash over all of it."""
+    """Nested orders as flat rows with UTC times, item counts and a hash over SILVER_HASH_COLUMNS."""
     flat = orders.select(
         "production_order_id", "plant_code", "plant_timezone", "material_id", "quantity", "uom", "created_by", "status",
         F.col("customer.customer_id").alias("customer_id"),
@@ -57,7 +59,7 @@ def flatten_orders(orders: DataFrame, null_items: int | None = -1) -> DataFrame:
         item_count("items", null_items).alias("item_count"),
         utc_from_local("posting_date_local", "plant_timezone").alias("posting_ts_utc"),
     )
-    return flat.withColumn("row_hash", row_hash(flat.columns))
+    return flat.withColumn("row_hash", row_hash(SILVER_HASH_COLUMNS))
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -74,19 +76,27 @@ def since_watermark(orders: DataFrame, watermark: str | None, compat: str | None
     return orders.where(utc_from_local("posting_date_local", "plant_timezone") > F.lit(watermark).cast("timestamp"))
 
 
-def gold_oee(silver: DataFrame, orders: DataFrame, seconds: int = 300, weighted: bool = False, as_of_order: bool = False) -> DataFrame:
+def gold_oee(silver: DataFrame, orders: DataFrame, seconds: int = 300, weighted: bool = False, as_of_order: bool = False, together: bool = False) -> DataFrame:
     """Five-minute figures for each machine with the plant's active orders (one row for each of them).
 
     The average is that of the one-minute averages unless ``weighted`` by events; ``as_of_order`` takes only the
-    latest active order posted by the bucket's end, instead of every active one.
+    latest active order posted by the bucket's end, instead of every active one. ``together`` gives one row for each
+    bucket with the number of the plant's active orders, their least and greatest id and the number of their
+    materials; orders are aggregated by plant before the join, so nothing fans out.
     """
     weigh = F.sum(F.col("vibration_g_avg") * F.col("event_count")) / F.sum("event_count") if weighted else F.avg("vibration_g_avg")
     five = silver.groupBy("plant_code", "machine_id", bucket_start("window_start_utc", seconds).alias("bucket")).agg(
         weigh.alias("vibration_g_5m_avg"), F.max("vibration_g_max").alias("vibration_g_5m_max"), F.sum("event_count").alias("event_count_5m")
     )
     active = orders.where(F.col("status").isin(*ACTIVE)).select("plant_code", "production_order_id", "material_id", "posting_ts_utc")
-    joined = five.join(active, "plant_code", "left")
     end = F.timestamp_seconds(F.col("bucket") + seconds)
+    if together:
+        by_plant = active.groupBy("plant_code").agg(F.count("*").alias("active_orders"), F.min("production_order_id").alias("first_order"), F.max("production_order_id").alias("last_order"), F.countDistinct("material_id").alias("active_materials"))
+        return five.join(by_plant, "plant_code", "left").select(
+            "plant_code", "machine_id", F.timestamp_seconds("bucket").alias("window_start_utc"), end.alias("window_end_utc"), "vibration_g_5m_avg", "vibration_g_5m_max", "event_count_5m",
+            F.coalesce("active_orders", F.lit(0)).alias("active_orders"), "first_order", "last_order", F.coalesce("active_materials", F.lit(0)).alias("active_materials"),
+        )
+    joined = five.join(active, "plant_code", "left")
     if as_of_order:
         w = Window.partitionBy("plant_code", "machine_id", "bucket").orderBy((F.col("posting_ts_utc") <= end).desc_nulls_last(), F.col("posting_ts_utc").desc_nulls_last(), "production_order_id")
         on = F.col("posting_ts_utc") <= end

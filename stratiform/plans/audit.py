@@ -9,6 +9,7 @@ import time
 import traceback
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from ..sources.schemas import PIPELINE_LOCK, PIPELINE_RUN, PIPELINE_WATERMARK
@@ -34,7 +35,8 @@ def _now() -> dt.datetime:
 class PipelineRun:
     """``with PipelineRun(store, name, system, entity) as run:`` reads ``run.watermark()``, sets metrics, and stages
     a new watermark with ``run.advance_watermark``. The lock is the exclusive creation of a file; one older than
-    ``stale_after`` seconds is taken over. On success the watermark is committed first, then the row says SUCCESS;
+    ``stale_after`` seconds is taken over by renaming it, which only one of several runs can do, and a run gives back only a
+    lock of its own. Stores without atomic creation and renaming, such as plain object stores, don't exclude. On success the watermark is committed first, then the row says SUCCESS;
     an exception leaves FAILED with the end of its traceback, no new watermark, and goes on.
     """
 
@@ -53,7 +55,7 @@ class PipelineRun:
             self._started = _now()
             self.store.append(RUNS, self._row("RUNNING"))
         except BaseException:
-            self.store.remove(self._lock)
+            self._release()
             raise
         return self
 
@@ -65,17 +67,28 @@ class PipelineRun:
             else:
                 self._close("FAILED", "".join(traceback.format_exception(kind, error, trace))[-4000:])
         finally:
-            self.store.remove(self._lock)
+            self._release()
         return False
 
+    def _release(self) -> None:
+        """Gives the lock back, unless another run has taken it over."""
+        try:
+            mine = json.loads(self.store.read_text(self._lock))["run_id"] == self.run_id
+        except (Py4JJavaError, ValueError):
+            return
+        if mine:
+            self.store.remove(self._lock)
+
     def _acquire(self) -> None:
         body = json.dumps({"pipeline_name": self.pipeline_name, "run_id": self.run_id, "host": self.host, "acquired_at": _now().isoformat()})
         if self.store.create_exclusive(self._lock, body):
             return
         if time.time() - self.store.modified(self._lock) > self.stale_after:
-            self.store.remove(self._lock)
-            if self.store.create_exclusive(self._lock, body):
-                return
+            claimed = f"{self._lock}.stale-{self.run_id}"
+            if self.store.rename(self._lock, claimed):
+                self.store.remove(claimed)
+                if self.store.create_exclusive(self._lock, body):
+                    return
         raise PipelineLocked(f"{self.pipeline_name} is running: {self.store.read_text(self._lock)}")
 
     def _row(self, status: str, ended: dt.datetime | None = None, error: str | None = None):

@@ -33,8 +33,9 @@ def load_orders(store: TableStore, path: str, table: str = "silver.production_or
         finally:
             flat.unpersist()
         run.metric("rows_in", rows)
+        run.metric("new_watermark", str(last))
         run.advance_watermark(last)
-        return dict(run.metrics) | {"watermark": last}
+        return {"rows_in": rows, "watermark": last}
 
 
 def load_materials(store: TableStore, source: str = "silver.material_master", table: str = "gold.dim_material", at: dt.datetime | None = None) -> dict[str, object]:

@@ -12,6 +12,7 @@ import json
 import time
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -87,6 +88,13 @@ class TableStore:
     def remove(self, p: str) -> None:
         self._fs.delete(self._path(p), True)
 
+    def rename(self, p: str, to: str) -> bool:
+        """Whether this call moved the file; of several that try, one does."""
+        try:
+            return bool(self._fs.rename(self._path(p), self._path(to)))
+        except Py4JJavaError:
+            return False
+
     def modified(self, p: str) -> float:
         """Seconds since the epoch at which a file changed last."""
         return self._fs.getFileStatus(self._path(p)).getModificationTime() / 1000
@@ -121,8 +129,7 @@ class TableStore:
         tag = f"{COMMIT}={number}-{time.time_ns():x}"
         writer = df.write
         if partition_by:
-            df = df.repartition(*partition_by) if df.rdd.getNumPartitions() > 1 else df
-            writer = df.write.partitionBy(*partition_by)
+            writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)  # splits a value of very many rows
         target = f"{self._dir(name)}/data/{tag}"
         writer.parquet(target)
         found = [tag]

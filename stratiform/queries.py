@@ -136,16 +136,26 @@ def _plant_of_event(df: DataFrame) -> DataFrame:
     return df.withColumn("plant_code", F.concat(F.lit("NAT-"), F.pmod(F.col("spindle_rpm").cast("int"), F.lit(25)).cast("string")))
 
 
-@query(f"""WITH {TELEMETRY}, {MINUTE}, {ORDERS},
-five AS (SELECT plant_code, machine_id, time_bucket(INTERVAL 5 MINUTE, w) AS b, avg(a) AS a, max(m) AS m, sum(n)::BIGINT AS n FROM minute GROUP BY ALL)
-SELECT five.plant_code, machine_id, b AS window_start_utc, b + INTERVAL 5 MINUTE AS window_end_utc, round(a, 6) AS vibration_g_5m_avg, round(m, 6) AS vibration_g_5m_max, n AS event_count_5m,
-       production_order_id AS active_production_order_id, material_id
-FROM five LEFT JOIN (SELECT CASE uom WHEN '1-URGENT' THEN 'click' WHEN '2-HIGH' THEN 'view' ELSE 'none' END AS plant_code, production_order_id, material_id FROM po WHERE status IN ('REL', 'CNF') AND production_order_id::BIGINT < 200) USING (plant_code)""")
-def gold_oee_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gold_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One-minute figures by the orders' plants, and the orders."""
     _utc(spark)
     events = td.telemetry(spark, sf_dir).where("plant_code IS NOT NULL AND machine_id IS NOT NULL")
-    silver = transforms.rollup(_plant_of_event(events))
-    return _shown(transforms.gold_oee(silver, transforms.normalise_orders(td.orders(spark, sf_dir))))
+    return transforms.rollup(_plant_of_event(events)), transforms.normalise_orders(td.orders(spark, sf_dir))
+
+
+@query()  # one row for each bucket and active order: millions at sf0.01, so tests compare it on the smallest tables
+def gold_oee_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(transforms.gold_oee(*_gold_inputs(spark, sf_dir)))
+
+
+@query(f"""WITH {TELEMETRY}, spread AS (SELECT * REPLACE ('NAT-' || (spindle_rpm::INTEGER % 25) AS plant_code) FROM tel WHERE plant_code IS NOT NULL), {MINUTE.replace("FROM tel", "FROM spread")}, {ORDERS},
+five AS (SELECT plant_code, machine_id, time_bucket(INTERVAL 5 MINUTE, w) AS b, avg(a) AS a, max(m) AS m, sum(n)::BIGINT AS n FROM minute GROUP BY ALL),
+active AS (SELECT plant_code, count(*) AS orders, min(production_order_id) AS first_order, max(production_order_id) AS last_order, count(DISTINCT material_id) AS materials FROM po WHERE status IN ('REL', 'CNF') GROUP BY ALL)
+SELECT five.plant_code, machine_id, b AS window_start_utc, b + INTERVAL 5 MINUTE AS window_end_utc, round(a, 6) AS vibration_g_5m_avg, round(m, 6) AS vibration_g_5m_max, n AS event_count_5m,
+       coalesce(orders, 0) AS active_orders, first_order, last_order, coalesce(materials, 0) AS active_materials
+FROM five LEFT JOIN active USING (plant_code)""")
+def gold_oee_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(transforms.gold_oee(*_gold_inputs(spark, sf_dir), together=True))
 
 
 @query(f"WITH {TELEMETRY} SELECT plant_code, machine_id, event_ts, vibration_g, temperature_c, spindle_rpm, event_ts AS kafka_ingest_ts FROM tel WHERE plant_code IS NOT NULL AND machine_id IS NOT NULL")
@@ -172,11 +182,14 @@ def order_utc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("posting_ts_utc", F.col("posting_ts_utc").cast(NTZ))
 
 
-@query(f"WITH {ORDERS} SELECT production_order_id, plant_code, customer_id, customer_name, customer_region, item_count, {POSTED} AS posting_ts_utc FROM po")
+SILVER_HASH = "sha256(concat_ws('||', " + ", ".join(f"coalesce({c}, chr(0))" for c in ("customer_id", "item_count::VARCHAR", "material_id", "plant_code", f"strftime({POSTED}, '%Y-%m-%d %H:%M:%S')", "production_order_id", "quantity::DECIMAL(18,2)::VARCHAR", "status", "uom")) + "))"
+
+
+@query(f"WITH {ORDERS} SELECT production_order_id, plant_code, customer_id, customer_name, customer_region, item_count, {POSTED} AS posting_ts_utc, {SILVER_HASH} AS row_hash FROM po")
 def order_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     _utc(spark)
-    flat = transforms.flatten_orders(td.orders(spark, sf_dir))
-    return flat.select("production_order_id", "plant_code", "customer_id", "customer_name", "customer_region", "item_count", F.col("posting_ts_utc").cast(NTZ).alias("posting_ts_utc"))
+    flat = transforms.flatten_orders(_decimal_orders(spark, sf_dir))
+    return flat.select("production_order_id", "plant_code", "customer_id", "customer_name", "customer_region", "item_count", F.col("posting_ts_utc").cast(NTZ).alias("posting_ts_utc"), "row_hash")
 
 
 @query(f"WITH {ORDERS} SELECT production_order_id, plant_code FROM po WHERE regexp_matches(plant_code, '^[A-Z]{{3}}-[0-9]+$')")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratiform.operators import expectations as ex
 from stratiform.operators import transforms
 from stratiform.plans import loads, warehouse
+from stratiform.plans.audit import PipelineLocked, PipelineRun, locks
 from stratiform.plans.jobs import Job
 from stratiform.plans.medallion import build
 from stratiform.sources import catalogue
@@ -100,3 +101,22 @@ def test_kafka_options():
     o = kafka_options("b:9093", "t")
     assert o["maxOffsetsPerTrigger"] == "100000" and o["startingOffsets"] == "latest" and o["kafka.sasl.mechanism"] == "PLAIN"
     assert ENVELOPE.startswith("key binary")
+
+
+def test_watermark_metric(store):
+    loads.load_orders(store, f"file://{FIX}/orders.json")
+    run = store.read("audit.pipeline_run").where("status = 'SUCCESS'").first()
+    assert json.loads(run.metrics_json) == {"rows_in": 5, "new_watermark": "2026-05-06 00:50:00"}
+
+
+def test_stale_lock_changes_hands(store):
+    """A run whose lock was taken over doesn't remove the new holder's."""
+    old = PipelineRun(store, "p", "s", "e")
+    with pytest.raises(PipelineLocked):
+        with old:
+            with PipelineRun(store, "p", "s", "e", stale_after=-1):
+                old._release()
+                assert [r.pipeline_name for r in locks(store).collect()] == ["p"]
+                with PipelineRun(store, "p", "s", "e"):
+                    pass
+    assert locks(store).count() == 0
