@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stratiform.operators.transforms import gold_oee
 from stratiform.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -22,3 +23,21 @@ def test_every_active_order_meets_its_plant(spark):
     assert len(active) > 900 and got == want
     pairs = gold.select("active_production_order_id", "plant_code").distinct().where("active_production_order_id IS NOT NULL").collect()
     assert {r.active_production_order_id: r.plant_code for r in pairs} == active
+
+
+def test_a_plants_rows_are_dealt_over_tasks(spark):
+    """One plant of many buckets and few bytes: its rows are the whole product, and not one task's."""
+    silver = spark.range(600).selectExpr("if(id < 590, 'P', 'Q') AS plant_code", "cast(id % 7 as string) AS machine_id", "timestamp_seconds(id * 300) AS window_start_utc", "id / 3 AS vibration_g_avg", "id / 2 AS vibration_g_max", "id AS event_count")
+    orders = spark.range(51).selectExpr("if(id < 50, 'P', 'R') AS plant_code", "cast(id as string) AS production_order_id", "cast(id % 5 as string) AS material_id", "timestamp_seconds(id) AS posting_ts_utc", "if(id < 40, 'REL', 'CRT') AS status")
+    gold = gold_oee(silver, orders)
+    rows = [(r.plant_code, r.window_start_utc.timestamp(), r.active_production_order_id, r.material_id) for r in gold.collect()]
+    want = [("P", 300.0 * i, str(k), str(k % 5)) for i in range(590) for k in range(40)] + [("Q", 300.0 * i, None, None) for i in range(590, 600)]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    tasks = [r["count"] for r in gold.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < 0.6 * len(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_figures_are_rounded_before_orders_multiply_them(spark):
+    plan = QUERIES["gold_oee_5min"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and "round(" not in plan[: plan.index("Join LeftOuter")]
