@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stratiform.operators import transforms
 from stratiform.operators.transforms import gold_oee
 from stratiform.queries import QUERIES
 
@@ -41,3 +42,38 @@ def test_a_plants_rows_are_dealt_over_tasks(spark):
 def test_figures_are_rounded_before_orders_multiply_them(spark):
     plan = QUERIES["gold_oee_5min"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" in plan and "round(" not in plan[: plan.index("Join LeftOuter")]
+
+
+def _plants(spark, buckets: int, orders: int):
+    """Buckets of plants P and (each tenth) Q and one without a plant, and orders of P and of R, some of them not active."""
+    silver = spark.range(buckets).selectExpr("if(id = 3, NULL, if(id % 10 > 0, 'P', 'Q')) AS plant_code", "cast(id % 7 as string) AS machine_id", "timestamp_seconds(id * 300) AS window_start_utc", "id / 3 AS vibration_g_avg", "id / 2 AS vibration_g_max", "id AS event_count")
+    made = spark.range(orders).selectExpr("if(id % 11 > 0, 'P', 'R') AS plant_code", "cast(id as string) AS production_order_id", "cast(id * 17 % 500 as string) AS material_id", "timestamp_seconds(id) AS posting_ts_utc", "if(id % 5 > 0, 'REL', 'CRT') AS status")
+    return silver, made
+
+
+def test_blocks_hold_each_pair_once(spark, monkeypatch):
+    """Many blocks of both sides, with rests: nothing lost, nothing twice, nulls where there are no orders."""
+    monkeypatch.setattr(transforms, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(transforms, "ORDER_BLOCK", 7)
+    rows = [(r.plant_code, r.window_start_utc.timestamp(), r.machine_id, r.event_count_5m, r.active_production_order_id, r.material_id) for r in gold_oee(*_plants(spark, 500, 60)).collect()]
+    active = [k for k in range(60) if k % 11 and k % 5]
+    want = []
+    for i in range(500):
+        plant = None if i == 3 else "P" if i % 10 else "Q"
+        want += [(plant, 300.0 * i, str(i % 7), i, *x) for x in ([(str(k), str(k * 17 % 500)) for k in active] if plant == "P" else [(None, None)])]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+
+
+def test_the_product_is_small_on_disk(spark, tmp_path):
+    """Many orders of a plant: rows of two columns that change from row to row take well under a byte when written."""
+    gold_oee(*_plants(spark, 120, 12_000)).write.parquet(f"file://{tmp_path}/out")
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.8 * spark.read.parquet(f"file://{tmp_path}/out").count()
+
+
+def test_orders_are_copied_in_blocks(spark):
+    """What is copied for the parts of a plant's buckets are blocks of orders, not orders."""
+    gold = gold_oee(*_plants(spark, 50, 6_000))
+    plan = gold._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan[plan.index("Generate explode(") :]
+    assert gold.count() == 44 * sum(1 for k in range(6_000) if k % 11 and k % 5) + 6
